@@ -6,6 +6,8 @@ import importlib
 
 #: Query name: module, and whether the module has ORACLE.
 _MODULES = {
+    "op3_secret_scan": "secret_scan",
+    "op5_packing": "packing",
     "op9_line_dedup": "line_dedup",
 }
 
