@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op3_secret_scan": "secret_scan",
     "op5_packing": "packing",
+    "op6_jaccard_join": "jaccard_join",
     "op9_line_dedup": "line_dedup",
 }
 
