@@ -4,7 +4,7 @@ A document's ids are cut into pieces. Piece lengths fall into reciprocal-capacit
 capacity // k, and each of its bins is filled with exactly k pieces. Since documents may be cut, a remainder is cut to the
 largest class length that it reaches, unless it already fills its class to within `slack`; what is shorter than capacity // MOST
 stays whole in the class of its own length. Every worker fills bins of every class by itself. What stays over (fewer than k pieces a
-class and worker) is filled class by class in a second round, and what stays over from that (a number of pieces that the
+class and worker) is filled class by class, for groups of workers and then for all, and what stays over from that (a number of pieces that the
 capacity bounds, whatever the data) goes into the last bins by first fit in falling order of length.
 
 Defined cases: a null or empty text gives the end id alone; a null doc_id is packed like any other; repeated rows are
@@ -13,6 +13,7 @@ separate documents; other columns are ignored; an empty table gives no piece.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Callable
@@ -27,7 +28,9 @@ from lodetext.llm import shared
 #: Remainders are cut to capacity // k for k up to this.
 MOST = 64
 #: Entries of the word cache of a Python worker.
-CACHE = 400_000
+CACHE = 500_000
+#: Workers whose leftover pieces are put together first.
+GROUP = 32
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, worker long, sequence_id long, offset long"
 _COLUMNS = [x.split()[0] for x in _PIECE.split(", ")]
@@ -40,11 +43,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """Text to its ids as little-endian unsigned 32-bit integers; words between white space are looked up once.
+_PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
-    For tokenizers that never join characters across white space and drop it. A text in which Python and the
-    tokenizer differ about white space, or that may hold a special token, goes through the tokenizer whole.
+
+def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts to their ids as little-endian unsigned 32-bit integers; words between white space are looked up once.
+
+    For tokenizers that split at white space and between letters and punctuation, drop white space and mark the ends of words. New words of
+    letters are encoded together and told apart by those marks; all others one by one. A text in which Python and the tokenizer differ about
+    white space, or that may hold a special token, goes through the tokenizer whole.
     """
     if path in _encoders:
         return _encoders[path]
@@ -52,25 +59,50 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     whole = Tokenizer.from_file(path)
     special = re.compile("|".join([r"[\x1c-\x1f]", *(re.escape(t.content) for t in whole.get_added_tokens_decoder().values())]))
-
-    def ids(text: str) -> bytes:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    class Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            if len(self) >= CACHE:
-                self.clear()
-            out = ids(word)
-            if len(word) < 100:
-                self[word] = out
-            return out
-
-    words = Words()
-
-    def run(text: str) -> bytes:
-        if special.search(text):
-            return ids(text)
-        return b"".join([words[w] for w in text.split()])
+    last = np.zeros(whole.get_vocab_size(), bool)
+    last[[i for t, i in whole.get_vocab().items() if t.endswith("</w>")]] = True
+    chunks: dict[str, bytes] = {}  # by what stands between white space
+    cores: dict[str, bytes] = {}  # by word without the punctuation behind it
+
+    def ids(text: str) -> np.ndarray:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def add_cores(new: list[str]) -> None:
+        words = [w for w in new if w.isalpha()]
+        got = ids(" ".join(words))
+        ends = np.flatnonzero(last[got]) + 1
+        if len(ends) == len(words):
+            raw, begin = got.tobytes(), 0
+            for w, e in zip(words, ends.tolist(), strict=True):
+                cores[w] = raw[4 * begin : 4 * e]
+                begin = e
+        for w in new:
+            if w not in cores:
+                cores[w] = ids(w).tobytes()
+
+    def add_chunks(new: set[str]) -> None:
+        if len(chunks) > CACHE:
+            chunks.clear()
+        if len(cores) > CACHE:
+            cores.clear()
+        parts = []
+        for w in new:
+            core = w.rstrip(_PUNCTUATION)
+            if core and core[-1].lower().isalnum():
+                parts.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+            else:
+                parts.append((w, w, ""))
+        add_cores(sorted({x for _, core, tail in parts for x in (core, tail)} - cores.keys()))
+        for w, core, tail in parts:
+            chunks[w] = cores[core] + cores[tail]
+
+    def run(texts: list[str]) -> list[bytes]:
+        words = [None if special.search(t) else t.split() for t in texts]
+        found = [None if w is None else list(map(chunks.get, w)) for w in words]
+        if new := {x for w, f in zip(words, found, strict=True) if f and None in f for x, y in zip(w, f, strict=True) if y is None}:
+            add_chunks(new)
+            found = [f if f is None or None not in f else [chunks[x] if y is None else y for x, y in zip(w, f, strict=True)] for w, f in zip(words, found, strict=True)]
+        return [ids(t).tobytes() if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
 
     _encoders[path] = run
     return run
@@ -135,12 +167,13 @@ def _encode_and_fill(path: str, end_id: int, capacity: int, slack: float):
         encode, me = encoder(path), _worker()
         bins, rows = _Bins(0, me), []
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = memoryview((encode(text) if text else b"") + end)
-                total, at = len(ids) // 4, 0
-                for k, n in cut(total, capacity, slack):
-                    rows += bins.add([doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total, k, me, None, None])
-                    at += n
+            for docs, texts in shared.byte_batches([b], ["doc_id", "text"]):
+                for doc, got in zip(docs, encode([t.decode() if t else "" for t in texts]), strict=True):
+                    ids = memoryview(got + end)
+                    total, at = len(ids) // 4, 0
+                    for k, n in cut(total, capacity, slack):
+                        rows += bins.add([doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total, k, me, None, None])
+                        at += n
                 if len(rows) > 20_000:
                     yield _batch(rows)
                     rows = []
@@ -149,15 +182,18 @@ def _encode_and_fill(path: str, end_id: int, capacity: int, slack: float):
     return run
 
 
-def _fill(batches):
-    bins, rows = _Bins(1, _worker()), []
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            rows += bins.add(list(r))
-        if len(rows) > 20_000:
-            yield _batch(rows)
-            rows = []
-    yield _batch(rows + bins.rest())
+def _fill(level: int):
+    def run(batches):
+        bins, rows = _Bins(level, _worker()), []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += bins.add(list(r))
+            if len(rows) > 20_000:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows + bins.rest())
+
+    return run
 
 
 def _first_fit(capacity: int):
@@ -168,7 +204,7 @@ def _first_fit(capacity: int):
             at = next((i for i, u in enumerate(used) if u + r[2] <= capacity), len(used))
             if at == len(used):
                 used.append(0)
-            r[7:9] = [2 << 60 | at, used[at]]
+            r[7:9] = [3 << 60 | at, used[at]]
             used[at] += r[2]
         yield _batch(rows)
 
@@ -181,11 +217,15 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 204
     path = tokenizer_path or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = shared.save(rows.mapInArrow(_encode_and_fill(path, end_id, capacity, slack), _PIECE), "pieces")
-    over = first.where("sequence_id is null").repartition(shared.partitions(spark), "k").sortWithinPartitions("k", "doc_id", "start", "worker", "ids_crc32")
-    second = shared.save(over.mapInArrow(_fill, _PIECE), "pieces-over")
+    filled, done = first, []
+    for level, keys in ((1, ["k", F.floor(F.col("worker") / GROUP)]), (2, ["k"])):
+        done.append(filled.where("sequence_id is not null"))
+        over = filled.where("sequence_id is null").repartition(shared.partitions(spark), *keys).sortWithinPartitions("k", "worker", "doc_id", "start", "ids_crc32")
+        filled = shared.save(over.mapInArrow(_fill(level), _PIECE), "pieces-over")
+    done.append(filled.where("sequence_id is not null"))
     # fewer than k pieces of each class, however many documents there are
-    last = second.where("sequence_id is null").repartition(1).mapInArrow(_first_fit(capacity), _PIECE)
-    filled = first.where("sequence_id is not null").unionByName(second.where("sequence_id is not null")).unionByName(last)
+    done.append(filled.where("sequence_id is null").repartition(1).mapInArrow(_first_fit(capacity), _PIECE))
+    filled = functools.reduce(DataFrame.unionByName, done)
     return filled.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
