@@ -18,6 +18,8 @@ ignored; an empty table gives an empty result. Different sets or shingles are ta
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,6 +39,8 @@ ZONES = ((4, 80, 0), (64, 640, 8), (512, 5120, 32), (4096, 1 << 62, 256))
 FREQUENT = 10
 #: Bits of the filter of candidate documents.
 FILTER_BITS = 26
+#: Cells of a set's parity bits.
+PARITY = 2048
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -101,11 +105,17 @@ def _classes_and_counts(width: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
             if counts.any():
                 n = CHUNKS
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array([c.tobytes() for c in np.split(counts, n)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array([_squeeze(c) for c in np.split(counts, n)], pa.binary())], schema=schema)
 
     return run
 
 
+def _squeeze(counts: np.ndarray) -> bytes:
+    """Counts in the least of 1, 2 or 4 bytes that hold them, compressed."""
+    most = int(counts.max())
+    return zlib.compress(counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes(), 1)
+
+
 def _add_counts(batches):
     """Sums the counts of each chunk; rows of a chunk follow one another."""
     at, total = None, None
@@ -115,7 +125,8 @@ def _add_counts(batches):
                 yield _chunk(at, total)
             if chunk != at:
                 at, total = chunk, np.zeros((1 << SKETCH_BITS) // CHUNKS, np.uint64)
-            total += np.frombuffer(counts, np.uint32)
+            part = zlib.decompress(counts)
+            total += np.frombuffer(part, f"<u{len(part) // len(total)}")
     if total is not None:
         yield _chunk(at, total)
 
@@ -267,7 +278,15 @@ def _filter_cell(ids: np.ndarray) -> np.ndarray:
     return (shared.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _sets(width: int, bits):
+def parity_bits(s: np.ndarray) -> bytes:
+    """For each of PARITY cells, whether an odd number of shingles falls into it. Two sets' bits differ in no more cells than they have shingles apart."""
+    cell = (shared.mix(s + np.uint64(11)) >> np.uint64(32)).astype(np.int64) % PARITY
+    return np.packbits((np.bincount(cell, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
+def _wanted_sets(width: int, bits, encode):
+    """fp, n and encode(set) of the documents that the filter lets through."""
+
     def run(batches):
         wanted = np.frombuffer(bits.value, np.uint8)
         with np.errstate(over="ignore"):
@@ -275,13 +294,19 @@ def _sets(width: int, bits):
                 cell = _filter_cell(b.column("doc_id").to_numpy(zero_copy_only=False))
                 hit = (wanted[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
                 b = b.filter(pa.array(hit.astype(bool)))
-                for ids, texts in shared.byte_batches([b], ["doc_id", "text"]):
+                for (texts,) in shared.byte_batches([b], ["text"]):
                     sets = shingle_sets(texts, width)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "fp", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([encode(s) for s in sets], pa.binary())], names=["fp", "n", "payload"])
 
     return run
 
 
+@F.pandas_udf(T.LongType())
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    cells = lambda x: np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1)
+    return pd.Series(np.bitwise_count(cells(a) ^ cells(b)).sum(1).astype(np.int64))
+
+
 @F.pandas_udf(T.LongType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     def count(x: bytes, y: bytes) -> int:
@@ -305,21 +330,26 @@ class _Verifier:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose sets are similar."""
+    def _with_payloads(self, pairs: DataFrame, encode, name: str) -> DataFrame:
+        """pairs (a, b) with both sets' sizes and payloads. A pair may be repeated if several documents have its sets."""
         spark = pairs.sparkSession
         ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        holders = shared.save(self.classes.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), f"{name}-holders")
-        ranks = shared.partitions(spark)
-        chunks = holders.select("doc_id").coalesce(16).mapInArrow(_filter_bits, "chunk int, counts binary").repartition(ranks, "chunk").sortWithinPartitions("chunk").mapInArrow(_or_bits, "chunk int, counts binary")
+        holders = self.classes.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+        chunk = "chunk int, counts binary"
+        chunks = holders.select("doc_id").coalesce(16).mapInArrow(_filter_bits, chunk).repartition(shared.partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_or_bits, chunk)
         bits = spark.sparkContext.broadcast(_collect_chunks(chunks, np.uint8, 1 << (FILTER_BITS - 3)).tobytes())
-        sets = self.docs.mapInArrow(_sets(self.width, bits), "doc_id long, fp long, shingles binary").join(holders, ["doc_id", "fp"], "left_semi").dropDuplicates(["fp"]).select("fp", "shingles")
-        sets = shared.save(sets, f"{name}-sets")
-        left, right = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
-        size = lambda c: (F.length(c) / 8).cast("long")
-        common = _common("sa", "sb")
-        both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", (size("sa") + size("sb")).alias("total"), common.alias("common"))
-        return shared.save(both.where(F.lit(100) * F.col("common") >= F.lit(self.percent) * (F.col("total") - F.col("common"))).select("a", "b"), f"{name}-links")
+        sets = shared.save(self.docs.mapInArrow(_wanted_sets(self.width, bits, encode), "fp long, n long, payload binary"), name)
+        left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("payload").alias("pa"))
+        right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("payload").alias("pb"))
+        return pairs.select("a", "b").join(left, "a").join(right, "b")
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose sets are similar: most others fall by their parity bits, the rest are compared whole."""
+        total, least = F.col("na") + F.col("nb"), self.percent
+        bits = self._with_payloads(pairs, parity_bits, f"{name}-bits").select("a", "b", total.alias("total"), _apart("pa", "pb").alias("apart"))
+        close = shared.save(bits.where(F.col("apart") * (100 + least) <= F.col("total") * (100 - least)).select("a", "b").distinct(), f"{name}-close")
+        whole = self._with_payloads(close, lambda s: s.tobytes(), f"{name}-sets").select("a", "b", total.alias("total"), _common("pa", "pb").alias("common"))
+        return shared.save(whole.where(F.lit(100) * F.col("common") >= F.lit(least) * (F.col("total") - F.col("common"))).select("a", "b").distinct(), f"{name}-links")
 
 
 # Components -----------------------------------------------------------------
@@ -379,9 +409,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     links = shared.save(verify.links(pairs, "first").unionByName(same_id), "links")
     labels = components(links)
 
-    # pairs of one entry that lie in different components still
-    label = members.select("sig", "fp", "n").distinct().join(labels, F.col("fp") == F.col("node"), "left").select("sig", "fp", "n", F.coalesce("component", "fp").alias("label"))
-    label = shared.save(label, "labels")
+    # pairs of one entry that lie in different components still; an entry all of whose members link with its smallest has none
+    a, b = F.least("fp", "cfp").alias("a"), F.greatest("fp", "cfp").alias("b")
+    unlinked = members.where(F.col("fp") != F.col("cfp")).select("sig", a, b).join(links.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    open_entries = unlinked.select("sig").unionByName(members.where("salt > 0").select("sig")).distinct()
+    label = members.select("sig", "fp", "n").join(open_entries, "sig", "left_semi").join(labels, F.col("fp") == F.col("node"), "left")
+    label = shared.save(label.select("sig", "fp", "n", F.coalesce("component", "fp").alias("label")), "labels")
     mixed = label.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
     open_members = label.join(mixed, "sig", "left_semi")
     x = open_members.select("sig", F.col("fp").alias("a"), F.col("n"), F.col("label").alias("la"))
