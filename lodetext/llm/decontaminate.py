@@ -15,6 +15,8 @@ repeated rows give repeated rows; other columns are ignored; empty tables give a
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -99,59 +101,72 @@ def _hits(bench: Benchmark, words: np.ndarray) -> set[tuple[int, int]]:
     return out
 
 
-def _search(shared_items, least: int):
-    cache: dict = {}
-
+def overlaps(bench: Benchmark, texts: list[bytes | None], least: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, item, equal words, the item's words, begin, end) by place of text and item; the best stretch for each pair."""
+    words, at = shared.word_hashes(texts, "plain")
+    best: dict = {}
+    for item, diagonal in sorted(_hits(bench, words)):
+        a, b = int(bench.at[item]), int(bench.at[item + 1])
+        for d in range(int(np.searchsorted(at, max(diagonal, 0), "right")) - 1, len(texts)):  # a diagonal can leave a text
+            if at[d] >= diagonal + b - a:
+                break
+            lo, hi = max(diagonal, int(at[d])), min(diagonal + b - a, int(at[d + 1]))
+            if hi <= lo:
+                continue
+            n, x, y = stretch(words[lo:hi] == bench.words[a + lo - diagonal : a + hi - diagonal])
+            if n and n >= min(least, b - a):
+                best[d, item] = max(best.get((d, item), (0,)), (n, b - a, lo + x - int(at[d]), lo + y - int(at[d])))
+    return [(d, i, *r) for (d, i), r in sorted(best.items())]
+
+
+def _search(items, least: int):
     def run(batches):
-        if "bench" not in cache:
-            cache["bench"] = Benchmark(shared_items.value)
-        bench: Benchmark = cache["bench"]
+        bench = Benchmark(items.value)
         with np.errstate(over="ignore"):
             for ids, texts in shared.byte_batches(batches, ["doc_id", "text"]):
-                words, at = shared.word_hashes(texts, "plain")
-                best: dict = {}
-                for item, diagonal in sorted(_hits(bench, words)):
-                    a, b = int(bench.at[item]), int(bench.at[item + 1])
-                    for d in range(int(np.searchsorted(at, max(diagonal, 0), "right")) - 1, len(texts)):  # a diagonal can leave a text
-                        if at[d] >= diagonal + b - a:
-                            break
-                        lo, hi = max(diagonal, int(at[d])), min(diagonal + b - a, int(at[d + 1]))
-                        if hi <= lo:
-                            continue
-                        n, x, y = stretch(words[lo:hi] == bench.words[a + lo - diagonal : a + hi - diagonal])
-                        if n >= min(least, b - a) and n:
-                            row = (n, b - a, lo + x - int(at[d]), lo + y - int(at[d]))
-                            if row > best.get((d, item), (0,)):
-                                best[d, item] = row
-                rows = [(ids[d], bench.ids[i], *r) for (d, i), r in sorted(best.items())]
+                rows = [(ids[d], bench.ids[i], *r) for d, i, *r in overlaps(bench, texts, least)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in _HITS.split(", ")])
 
     return run
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 12) -> DataFrame:
-    """A row for each document and benchmark item that overlap: item_id, equal words, the item's words, the stretch in the document's words."""
-    spark = docs.sparkSession
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _without(items, least: int):
+    def run(batches):
+        bench = Benchmark(items.value)
+        with np.errstate(over="ignore"):
+            for b in batches:
+                keep, done = np.ones(b.num_rows, bool), 0
+                for (texts,) in shared.byte_batches([b.select(["text"])], ["text"]):
+                    for d, *_ in overlaps(bench, texts, least):
+                        keep[done + d] = False
+                    done += len(texts)
+                yield b.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame):
+    """The benchmark's items, as broadcasts of about BLOCK_BYTES of text."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES)
-    out = spark.createDataFrame([], _HITS)
+    blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
-        found = rows.mapInArrow(_search(block, least), _HITS)
-        out = found if blocks == 1 else out.unionByName(found)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 12) -> DataFrame:
+    """A row for each document and benchmark item that overlap: item_id, equal words, the item's words, the stretch in the document's words."""
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [rows.mapInArrow(_search(items, least), _HITS) for items in _blocks(benchmark)]
+    return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 12) -> DataFrame:
-    """The documents that overlap with no item. Rows with a null doc_id that overlap go as well, by their text."""
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")
-    marked = docs.withColumn("_key", key)
-    bad = contaminations(marked.select(F.col("_key").alias("doc_id"), "text"), benchmark, least).select(F.col("doc_id").alias("_key")).distinct()
-    return marked.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that overlap with no item; no row is moved."""
+    for items in _blocks(benchmark):
+        docs = docs.mapInArrow(_without(items, least), docs.schema)
+    return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodetext.llm import shared
 
@@ -210,23 +209,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score; texts are read once and no row is moved."""
-    columns = docs.columns
-    fields = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def without_rejected(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
+    """The rows of docs whose text has a language with a score of `least` or more; texts are read once and no row is moved."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.limit(0)
 
     def run(batches):
         for b in batches:
-            names, scores = [], []
+            keep = []
             for (texts,) in shared.byte_batches([b.select(["text"])], ["text"]):
-                more = classify(model, texts)
-                names += more[0]
-                scores += more[1]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+                keep += [name != "und" and score >= least for name, score in zip(*classify(model, texts), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ import importlib
 
 #: Query name: module, and whether the module has ORACLE.
 _MODULES = {
+    "op1_license_scan": "license_scan",
     "op2_nearest": "nearest",
     "op3_secret_scan": "secret_scan",
     "op4_decontaminate": "decontaminate",
     "op5_packing": "packing",
     "op6_jaccard_join": "jaccard_join",
+    "op7_warc_revisits": "warc_revisits",
     "op8_language_id": "language_id",
     "op9_line_dedup": "line_dedup",
     "op10_lm_score": "lm_score",
