@@ -4,8 +4,8 @@ Model. A byte is eight binary decisions, each in the node of the bits before it.
 estimates of each decision are mixed over all depths with the weights of context-tree weighting, P_w = 1/2 P_e + 1/2 prod P_w(children), from the counts of all
 training texts. A text is scored by the trained tree as it stands: each decision has the mixture of the estimates along its context, where the deepest context seen in
 training takes the weight that is left. A text's bytes (A-Z lowered) are followed by an end byte, so scores are log10 probabilities of whole texts, and -score / log10(2) / bytes is
-the code length in bits per byte. Counts of byte strings are summed over all training texts; `depth` is the largest, up to DEPTH, at which the tree has no more than MOST leaves' symbols, which
-bounds the broadcast model whatever the corpus.
+the code length in bits per byte. Counts of byte strings are summed over all training texts; `depth` is the largest, up to DEPTH, at which
+there are no more than MOST strings, and rare contexts have no node of their own, which bounds the broadcast model whatever the corpus.
 
 Base. Counts of words are summed per block of documents before they are shuffled; the totals of a block's own words go back to its documents. No vocabulary is broadcast or collected.
 
@@ -144,21 +144,21 @@ class Tree:
 
     def path(self, keys: np.ndarray) -> np.ndarray:
         """As lookup(), from the nodes."""
+        if len(keys) > 1 << 16:
+            return np.concatenate([self.path(keys[k : k + (1 << 16)]) for k in range(0, len(keys), 1 << 16)])
         nodes, bits = _bits(keys)
-        one = np.full(nodes.shape, 0.5)
+        one = np.full(nodes.shape, 0.5, np.float32)
         for d in range(self.depth + 1):
             # the context's last d bytes
             part = nodes & np.uint64((1 << 8 * (d + 1)) - 1)
             if len(self.nodes[d]):
                 at = np.minimum(np.searchsorted(self.nodes[d], part), len(self.nodes[d]) - 1)
                 one = np.where(self.nodes[d][at] == part, self.ones[d][at], one)
-        return np.log10(np.where(bits == 1, one, 1 - one)).sum(0)
+        return np.log10(np.where(bits == 1, one, 1 - one).astype(np.float64)).sum(0)
 
 
-def build(keys: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
-    """The tree of strings of depth + 1 bytes and their counts in training."""
-    tree = Tree(depth)
-    levels = []
+def _nodes_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions' nodes of sorted strings, and how often each had a zero and a one."""
     sym, ctx, weight = keys & np.uint64(255), keys & ~np.uint64(255), counts.astype(np.float64)
     parts = []
     for b in range(8):  # keys are sorted, so the nodes of one bit are as well
@@ -167,34 +167,62 @@ def build(keys: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
         one = weight * ((sym >> np.uint64(7 - b)) & np.uint64(1)).astype(np.float64)
         parts.append((node[begin], *((np.add.reduceat(x, begin) if len(begin) else x) for x in (weight - one, one))))
     node, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts, sym, ctx
-    for d in range(depth, -1, -1):
-        uniq, inv = np.unique(node & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
-        zeros, ones, node = np.bincount(inv, zeros, len(uniq)), np.bincount(inv, ones, len(uniq)), uniq
-        levels.append((node, zeros, ones))
-    levels.reverse()
-    log_w: list = [None] * (depth + 1)
-    log_e = [log_kt(z, o) for _, z, o in levels]
-    for d in range(depth, -1, -1):
-        log_w[d] = log_e[d]
-        if d < depth:
-            up = np.searchsorted(levels[d][0], levels[d + 1][0] & np.uint64((1 << 8 * (d + 1)) - 1))
-            log_w[d] = np.logaddexp(log_e[d], np.bincount(up, log_w[d + 1], len(levels[d][0]))) - math.log(2)
+    order = np.argsort(node)
+    return node[order], zeros[order], ones[order]
+
+
+def _frequent_contexts(keys: np.ndarray, counts: np.ndarray, most: int, least: int) -> tuple[np.ndarray, int]:
+    """Which sorted strings' contexts are kept, and the least count of those: `least` or as many as leave no more than `most` strings."""
+    if not len(keys):
+        return np.zeros(0, bool), least
+    ctx = keys >> np.uint64(8)
+    begin = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
+    totals, sizes = np.add.reduceat(counts, begin), np.diff(np.append(begin, len(keys)))
+    order = np.argsort(-totals, kind="stable")
+    fit_in = int(np.searchsorted(np.cumsum(sizes[order]), most, "right"))
+    if fit_in < len(order):
+        least = max(least, int(totals[order[fit_in]]) + 1)
+    return np.repeat(totals >= least, sizes), least
+
+
+def build(keys: np.ndarray, counts: np.ndarray, depth: int, most: int = 1 << 19) -> Tree:
+    """The tree of sorted strings of depth + 1 bytes and their counts in training.
+
+    Of each depth the most frequent contexts become nodes, up to `most` strings; the others of one parent count as one child, and are predicted by the parent.
+    """
+    tree = Tree(depth)
+    levels, least = [], 0
+    for d in range(depth + 1):
+        k, c = _merge([keys & np.uint64((1 << 8 * (d + 1)) - 1)], [counts]) if len(keys) else (keys, counts)
+        kept, least = _frequent_contexts(k, c, most, least)
+        levels.append(_nodes_of(k[kept], c[kept]))
+    # from the leaves up: the weight with which each node's own estimate counts
+    stops: list = [np.ones(len(levels[depth][0]), np.float32)]
+    log_w = log_kt(*levels[depth][1:])
+    for d in range(depth - 1, -1, -1):
+        up = np.searchsorted(levels[d][0], levels[d + 1][0] & np.uint64((1 << 8 * (d + 1)) - 1))
+        log_e = log_kt(*levels[d][1:])
+        rest = [np.maximum(0, levels[d][k] - np.bincount(up, levels[d + 1][k], len(log_e))) for k in (1, 2)]
+        log_w = np.logaddexp(log_e, np.bincount(up, log_w, len(log_e)) + log_kt(*rest)) - math.log(2)
+        stops.append(np.exp(np.minimum(0, log_e - math.log(2) - log_w)).astype(np.float32))
+    stops.reverse()
+    del log_w
+    # and from the root down: what is mixed so far, and the weight that is left
     mixed, left = None, None
     for d in range(depth + 1):
         uniq, z, o = levels[d]
-        kt = (o + 0.5) / (z + o + 1)
+        kt, stop = (o + 0.5) / (z + o + 1), stops[d]
         if d:
-            up = np.searchsorted(levels[d - 1][0], uniq & np.uint64((1 << 8 * d) - 1))
+            up = np.searchsorted(tree.nodes[d - 1], uniq & np.uint64((1 << 8 * d) - 1))
             mixed, left = mixed[up], left[up]
         else:
             mixed, left = np.zeros(len(uniq)), np.ones(len(uniq))
+        levels[d] = stops[d] = None
         tree.nodes.append(uniq)
-        tree.ones.append(mixed + left * kt)
-        stop = np.exp(np.minimum(0, log_e[d] - math.log(2) - log_w[d])) if d < depth else np.ones(len(uniq))
+        tree.ones.append((mixed + left * kt).astype(np.float32))
         mixed, left = mixed + left * stop * kt, left * (1 - stop)
-    size = 1 << max(4, int(4 * max(1, len(keys)) - 1).bit_length())
-    tree.keys, tree.logs = np.full(size, _EMPTY), np.zeros(size)
+    size = 1 << max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+    tree.keys, tree.logs = np.full(size, _EMPTY), np.zeros(size, np.float32)
     if len(keys):
         logs = tree.path(keys)
         slot, todo = shared.mix(keys) & np.uint64(size - 1), np.arange(len(keys))
@@ -289,7 +317,7 @@ def _score_block(tree, n_train: int, n_distinct: int):
                     size += len(texts[end])
                     end += 1
                 keys, begin = _strings(texts[start:end], model.depth)
-                score[start:end] = np.add.reduceat(model.lookup(keys), begin[:-1])
+                score[start:end] = np.add.reduceat(model.lookup(keys).astype(np.float64), begin[:-1])
                 start = end
             return pa.table(
                 {
