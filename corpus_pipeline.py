@@ -27,7 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that op9's rule drops; n_chars follows."""
     shared.release(spark)
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    own = {c: shared.fresh(docs.columns) + c for c in ("n_lines", "n_dropped") if c in docs.columns}  # the operator has columns of these names
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(own)).drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -35,14 +36,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each component of similar documents the one with the smallest doc_id stays."""
     shared.release(spark)
     found = jaccard_join.jaccard_components(docs)
-    losers = shared.save(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_loser")).distinct(), "losers")
-    kept = docs.join(losers, F.col("doc_id") == F.col("_loser"), "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice")
+    loser, twice = (shared.fresh(docs.columns) + x for x in ("loser", "twice"))
+    losers = shared.save(found.where("component_id <> doc_id").select(F.col("doc_id").alias(loser)).distinct(), "losers")
+    kept = docs.join(losers, F.col("doc_id") == F.col(loser), "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice)
     if repeated.isEmpty():
         return kept
     repeated = shared.save(repeated, "repeated")
-    once = kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.unionByName(kept.join(repeated, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(repeated, F.col("doc_id") == F.col(twice), "left_anti")
+    return once.unionByName(kept.join(repeated, F.col("doc_id") == F.col(twice), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

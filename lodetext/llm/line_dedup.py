@@ -199,15 +199,17 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with text replaced by the kept lines, and n_lines (before) and n_dropped."""
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("keep").alias("_keep"), F.col("n_dropped").alias("_dropped"))
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("_key", _row_key(F.col("text"))).join(bitmaps, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
-    out = joined.withColumn("_text", F.coalesce(_apply(F.when(F.col("_keep").isNotNull(), F.col("text")), "_keep"), text))
+    """docs with text replaced by the kept lines, and n_lines (before) and n_dropped, which replace columns of these names."""
+    p = shared.fresh(docs.columns)
+    bitmaps = keep_bitmaps(docs, min_chars, min_docs).toDF(f"{p}id", f"{p}row", f"{p}keep", f"{p}dropped")
+    keyed = docs.withColumn(f"{p}key", _row_key(F.col("text")))
+    joined = keyed.join(bitmaps, (F.col("doc_id") == F.col(f"{p}id")) & (F.col(f"{p}key") == F.col(f"{p}row")), "left")
+    text, keep = F.coalesce("text", F.lit("")), F.col(f"{p}keep")
+    out = joined.withColumn(f"{p}text", F.coalesce(_apply(F.when(keep.isNotNull(), F.col("text")), keep), text))
     return out.select(
-        *[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"{p}text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce("_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(f"{p}dropped", F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

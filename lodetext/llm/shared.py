@@ -61,6 +61,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(columns: list[str]) -> str:
+    """A prefix that no column has, for columns that are added for a while."""
+    prefix = "_lt_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def id_remainder(doc_id: F.Column | str, n: int) -> F.Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % n

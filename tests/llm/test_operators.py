@@ -1,0 +1,472 @@
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodetext.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, lm_score, nearest, packing, secret_scan, shared, warc_revisits
+
+RNG = random.Random(3)
+WORDS = ["alpha", "beta", "gamma", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet", "kilo", "lima", "mike", "november", "oscar", "papa"]
+
+
+def prose(n, rng=RNG):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(n))
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# line dedup
+
+
+def brute_lines(rows, min_chars=40, min_docs=5):
+    blanks, holders = " \t\n\x0b\x0c\r", defaultdict(set)
+    key = lambda line: line.strip(blanks).encode().lower().decode()
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            if d is not None and len(key(line)) >= min_chars:
+                holders[key(line)].add(d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if d is None or len(holders[key(x)]) < min_docs or d == max(holders[key(x)])]
+        out.append((d, len(lines), len(lines) - len(keep), "\n".join(keep)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_against_brute_force(docs):
+    rng = random.Random(1)
+    common = [f"line number {i} that many of the documents share, really é" for i in range(12)]
+    rows = []
+    for d in range(120):
+        lines = [rng.choice(common) if rng.random() < 0.5 else f"own line {d} {k} " + "x" * rng.randrange(50) for k in range(rng.randrange(1, 9))]
+        rows.append((d, "\n".join(rng.choice(["", "  ", "\t"]) + (x.upper() if rng.random() < 0.2 else x) for x in lines)))
+    rows += [(200, None), (201, ""), (202, "\n"), (None, common[0]), (3, rows[3][1])]
+    got = sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs(rows)).collect()], key=str)
+    # É is not folded, so brute force lowers A-Z alone as well
+    assert got == brute_lines(rows)
+
+
+def test_a_hot_line_over_many_partitions(spark, docs):
+    line = "the very same line in each and every document of the corpus"
+    rows = [(d, f"{line}\nown {d}\n{line}") for d in range(300)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = by_id(line_dedup.dedup_lines(docs(rows)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(got[d].n_dropped == (0 if d == 299 else 2) for d in range(300)) and got[7].text == "own 7"
+
+
+def test_bitmaps_round_trip():
+    import pandas as pd
+
+    bitmap = line_dedup._bitmap.func(pd.Series([[0, 9]]))[0]
+    assert line_dedup.kept_lines(list(range(12)), bitmap) == [1, 2, 3, 4, 5, 6, 7, 8, 10, 11] and line_dedup.kept_lines([1], None) == [1]
+
+
+# secrets
+
+
+def test_secrets(docs):
+    token = "AKIA" + "B" * 16
+    text = f"é password = 'abcdefghijkl' then {token} and 0123456789abcdef0 token:short API_KEY=\"secret=abcdefghijklmnop\" ſecret=abcdefghijklmnop"
+    found, ledger = secret_scan.scan(docs([(1, text), (2, text), (3, None), (None, text), (4, "clean")]))
+    rows = found.collect()
+    assert len(rows) == 5 and ledger.count() == 3
+    one = next(r for r in rows if r.doc_id == 1)
+    assert (one.n_assign, one.n_access, one.n_hex) == (2, 1, 1)
+    spans = [(k, text[int(a) : int(b)]) for k, a, b in (x.split(":") for x in one.spans.split(","))]
+    assert spans == [("assign", "password = 'abcdefghijkl"), ("access", token), ("hex", "0123456789abcdef0"), ("assign", 'API_KEY="secret=abcdefghijklmnop')]
+    assert one.base_sha256 == hashlib.sha256(one.spans.encode()).hexdigest()
+    assert next(r for r in rows if r.doc_id == 3).base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_the_ledger_saves_scans(docs, spark):
+    _, ledger = secret_scan.scan(docs([(1, "token=abcdefghijklmnop"), (2, "x")]))
+    ledger = shared.save(ledger, "ledger")
+    found, more = secret_scan.scan(docs([(1, "token=abcdefghijklmnop"), (3, "new")]), ledger)
+    assert more.count() == 3 and by_id(found)[1].n_assign == 1
+    _, again = secret_scan.scan(docs([(1, "token=abcdefghijklmnop")]), ledger, rules_version="2")
+    assert again.count() == 3
+
+
+def test_failing_assignments_are_consumed():
+    # the short value ends the match at `secret`, which then can't begin one of its own
+    assert secret_scan.find_secrets("token: secret = abcdefghijklmnop") == []
+
+
+# packing
+
+
+@pytest.mark.parametrize("capacity", [64, 2048])
+def test_packing_is_exact(docs, capacity):
+    rng = random.Random(2)
+    texts = [prose(rng.choice([1, 5, 50, 700]), rng) for _ in range(80)] + [None, "", "Été, naïve! 中文 <|endoftext|> x\x1cy"]
+    df = docs(texts)
+    rows = packing.pack(df, capacity=capacity).collect()
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32
+            at += r.length
+        assert at == len(ids)
+    for s in sequences.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= capacity
+    assert len(sequences) <= -(-sum(r.length for r in rows) // capacity) * 1.1 + 2
+
+
+def test_cuts_fill_their_classes():
+    for n in range(1, 5000):
+        parts = packing.cut(n, 2048, 0.01)
+        assert sum(x for _, x in parts) == n and all(k * x <= 2048 for k, x in parts) and len(parts) <= n // 2048 + 4
+
+
+# n-gram Jaccard join
+
+
+def brute_components(rows, percent=80):
+    def shingles(t):
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = [(d, shingles(t)) for d, t in rows]
+    parent = {d: d for d, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                lo, hi = sorted((find(a), find(b)))
+                parent[hi] = lo
+    return {d: (len(s), find(d)) for d, s in sets}
+
+
+def near_copies(seed):
+    rng, rows = random.Random(seed), []
+    for _ in range(12):
+        base = prose(rng.choice([3, 6, 20, 60, 150]), rng).split()
+        for _ in range(rng.choice([1, 3, 12])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+                copy[rng.randrange(len(copy))] = prose(1, rng)
+            rows.append(" ".join(copy))
+    passage = prose(60, rng)
+    rows += [prose(rng.randrange(4, 30), rng) + " " + passage for _ in range(40)]
+    rng.shuffle(rows)
+    return [(i, t) for i, t in enumerate(rows)] + [(1000, None), (1001, ""), (1002, "  "), (1003, "one two"), (1004, "One  TWO")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("frequent", [10, 2])
+def test_jaccard_components_against_brute_force(docs, seed, frequent, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    if frequent == 2:  # all ways at once: many frequent shingles, salted entries
+        monkeypatch.setattr(jaccard_join, "SALT_FROM", 3)
+        monkeypatch.setattr(jaccard_join, "frequency_levels", lambda c: np.where(c > 0, np.log2(np.maximum(c, 1)) + 1, 0).astype(np.uint8))
+    rows = near_copies(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_entries_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    with np.errstate(over="ignore"):
+        for n in (4, 5, 9, 70, 79, 90, 600, 5000):
+            for _ in range(40):
+                x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                drop = int(rng.integers(0, n // 9 + 1))
+                y = np.unique(np.concatenate((x[drop:], rng.integers(0, 1 << 63, drop).astype(np.uint64))))
+                if 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
+                    continue
+                level = lambda s: np.where(s % np.uint64(3) > 0, 10 + (s % np.uint64(2)).astype(np.int64), 0).astype(np.uint8)
+                a, b = jaccard_join.signatures(x, level(x), 80)[0], jaccard_join.signatures(y, level(y), 80)[0]
+                assert len(np.intersect1d(a, b))
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(6)
+    with np.errstate(over="ignore"):
+        for _ in range(50):
+            pool = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+            x, y = pool[rng.random(len(pool)) < 0.7], pool[rng.random(len(pool)) < 0.7]
+            bits = [np.frombuffer(jaccard_join.parity_bits(s), np.uint8) for s in (x, y)]
+            assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(x, y))
+
+
+# decontamination
+
+
+def test_decontamination(spark, docs):
+    rng = random.Random(8)
+    items = [prose(n, rng) for n in (5, 16, 40, 60)]
+    bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "")], "item_id long, text string")
+    changed = items[2].split()
+    changed[7], changed[19], changed[31] = "other", "words", "here"
+    rows = [(0, prose(100, rng) + " " + items[1] + ", " + prose(30, rng)), (1, prose(20, rng) + " " + " ".join(changed).upper()), (2, prose(300, rng)), (3, items[0]), (4, None), (5, ""), (6, " ".join(items[3].split()[10:40])), (7, " ".join(items[3].split()[:8]) + prose(50, rng))]
+    got = {(r.doc_id, r.item_id): (r.matched, r.length) for r in decontaminate.contaminations(docs(rows), bench).collect()}
+    assert got == {(0, 1): (16, 16), (1, 2): (37, 40), (3, 0): (5, 5), (6, 3): (30, 60)}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs(rows), bench).collect()) == [2, 4, 5, 7]
+    assert decontaminate.contaminations(docs(rows), bench.limit(0)).count() == 0
+
+
+def test_benchmark_in_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    items = [prose(20, random.Random(i)) for i in range(12)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    rows = [(i, "before " + t) for i, t in enumerate(items)] + [(50, "clean")]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs(rows), bench).collect()} == {(i, i) for i in range(12)}
+    assert [r.doc_id for r in decontaminate.decontaminate(docs(rows), bench).collect()] == [50]
+
+
+def test_longest_stretch():
+    rng = random.Random(9)
+    for _ in range(300):
+        e = np.array([rng.random() < 0.8 for _ in range(rng.randrange(1, 16))])
+        n, a, b = decontaminate.stretch(e)
+        ok = [j - i for i in range(len(e)) for j in range(i + 1, len(e) + 1) if e[i:j].sum() >= 4 * (~e[i:j]).sum()]
+        assert (n > 0) == bool(ok) and (not ok or (n == e[a:b].sum() and e[a] and e[b - 1] and n >= 4 * (b - a - n)))
+
+
+# language ID
+
+
+def languages(n, rng):
+    spell = {"aa": "kalimo ", "bb": "strüng schw ", "cc": "éçoi eaux "}
+    return [(i, "".join(rng.choice(spell[k].split()) + " " for _ in range(rng.randrange(1, 60))), k) for i, k in ((i, rng.choice(sorted(spell))) for i in range(n))]
+
+
+def test_language_id(spark):
+    rows = languages(300, random.Random(4))
+    df = spark.createDataFrame([*rows, (1000, None, "aa"), (1001, "123 --", "bb"), (1002, "kalimo", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(df.where("doc_id % 5 <> 0"))
+    got = by_id(language_id.predict(df, model))
+    assert np.mean([got[i].lang_pred == k for i, _, k in rows if i % 5 == 0]) > 0.95
+    assert got[1000].lang_pred == got[1001].lang_pred == "und" and got[1001].score == 0 and all(0 <= r.score <= 1 for r in got.values())
+    assert language_id.without_rejected(df, model).where("doc_id in (1000, 1001)").isEmpty()
+    assert language_id.fit(df.limit(0)) is None and {r.lang_pred for r in language_id.predict(df, None).collect()} == {"und"}
+
+
+def test_gradients_through_time(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, u, table = rng.integers(0, 256, (6, 3)), rng.standard_normal((4, 12)).astype(np.float32) * 0.3, rng.standard_normal((256, 12)).astype(np.float32) * 0.3
+    goal = rng.standard_normal((6, 3, 4)).astype(np.float32)
+    keep, d_table, d_u = {}, np.zeros_like(table), np.zeros_like(u)
+    language_id._states(x, table, u, keep)
+    language_id._back(x, u, keep, goal, d_table, d_u)
+    loss = lambda t, w: float((language_id._states(x, t, w).astype(np.float64) * goal).sum())
+    for array, grad, at in ((u, d_u, (1, 2)), (u, d_u, (3, 10)), (u, d_u, (0, 5)), (table, d_table, (int(x[2, 1]), 3)), (table, d_table, (int(x[0, 0]), 9))):
+        old, e = array[at], 1e-2
+        array[at] = old + e
+        up = loss(table, u)
+        array[at] = old - e
+        down = loss(table, u)
+        array[at] = old
+        assert grad[at] == pytest.approx((up - down) / (2 * e), abs=2e-2)
+
+
+# language-model scores
+
+
+def test_base_scores_and_counts(docs):
+    rng = random.Random(5)
+    rows = [(i, prose(rng.randrange(0, 60), rng)) for i in range(60)] + [(100, None), (101, ""), (None, "no id"), (7, "Repeated ROW")]
+    held = F.col("doc_id") % 10 == 0
+    train = Counter()
+    for i, t in rows:
+        if i is not None and i % 10:
+            train.update([*(t or "").encode().lower().split(), b"\n"])
+    n, v = sum(train.values()), len(train)
+    got = lm_score.score(docs(rows), held).collect()
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {n}
+    want = Counter()
+    for i, t in rows:
+        tokens = [*(t or "").encode().lower().split(), b"\n"]
+        want[i, len(tokens), sum(train[w] > 0 for w in tokens), round(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), 6)] += 1
+    assert want == Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got)
+    assert all(r.score < 0 and r.held_out == (r.doc_id is None or r.doc_id % 10 == 0) for r in got)
+    empty = next(r for r in got if r.doc_id == 101)
+    assert empty.n_tokens == 1
+
+
+def test_context_tree_against_the_recursion():
+    texts, depth, counts = [b"abracadabra", b"banana band", b"abba"], 2, defaultdict(lambda: [0, 0])
+    keys = np.concatenate([lm_score._strings([t], depth)[0] for t in texts])
+    k, n = lm_score._merge([keys], [np.ones(len(keys), np.int64)])
+    tree = lm_score.build(k, n, depth)
+    for t in texts:
+        p = b"\0" * depth + t + b"\0"
+        for i in range(depth, len(p)):
+            for d in range(depth + 1):
+                prefix = 1
+                for b in range(7, -1, -1):
+                    counts[p[i - d : i], prefix][p[i] >> b & 1] += 1
+                    prefix = prefix * 2 + (p[i] >> b & 1)
+
+    def kt(c, prefix):
+        a, b = counts[c, prefix]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(c, prefix):
+        if len(c) == depth:
+            return kt(c, prefix)
+        children = {x for x, p in list(counts) if p == prefix and len(x) == len(c) + 1 and x[1:] == c}
+        return float(np.logaddexp(kt(c, prefix), sum(weighted(x, prefix) for x in children))) - math.log(2)
+
+    def one(ctx, prefix):
+        mixed, left, out = 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            c = ctx[len(ctx) - d :]
+            if (c, prefix) not in counts:
+                break
+            a, b = counts[c, prefix]
+            q = (b + 0.5) / (a + b + 1)
+            out = mixed + left * q
+            stop = math.exp(kt(c, prefix) - math.log(2) - weighted(c, prefix)) if d < depth else 1
+            mixed, left = mixed + left * stop * q, left * (1 - stop)
+        return out
+
+    with np.errstate(over="ignore"):
+        for ctx in (b"ab", b"an", b"zz", b"xa", b"\0\0"):
+            symbols = np.arange(256, dtype=np.uint64)
+            got = tree.lookup(symbols | np.uint64(int.from_bytes(ctx) << 8))
+            assert (10.0**got).sum() == pytest.approx(1, abs=1e-5)
+            for y in (97, 98, 110, 0, 200):
+                prefix, want = 1, 0.0
+                for b in range(7, -1, -1):
+                    bit = y >> b & 1
+                    want += math.log10(one(ctx, prefix) if bit else 1 - one(ctx, prefix))
+                    prefix = prefix * 2 + bit
+                assert got[y] == pytest.approx(want, abs=1e-4)
+        assert lm_score.build(np.empty(0, np.uint64), np.empty(0, np.int64), 2).lookup(np.array([5], np.uint64))[0] == pytest.approx(8 * math.log10(0.5), abs=1e-4)
+
+
+def test_the_tree_learns(docs):
+    rows = [(i, prose(40, random.Random(i))) for i in range(200)]
+    got = lm_score.score(docs(rows), F.col("doc_id") % 10 == 0).where("held_out").collect()
+    assert sum(r.score for r in got) > -0.8 * sum(len(rows[r.doc_id][1]) for r in got)  # under 2.7 bits a byte
+
+
+# nearest neighbours
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal((700, 12)), 1)  # ties
+    rows = [(i, [float(v) for v in x[i]]) for i in range(700)] + [(1000, None), (1001, [0.0] * 12), (1002, [None] + [1.0] * 11), (1003, [float("nan")] + [1.0] * 11), (1004, [1.0]), (None, [1.0] * 12)]
+    vectors = nearest.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5))
+    got = defaultdict(list)
+    for r in sorted(nearest.nearest(vectors.where("vec_id % 100 = 0"), vectors).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert sorted(got) == [0, 100, 200, 300, 400, 500, 600]
+    for q, found in got.items():
+        want = sorted((float(np.sqrt(((x[q] - x[i]) ** 2).sum())), i) for i in range(700) if i != q)[:10]
+        assert [v for v, _ in found] == [i for _, i in want] and [s for _, s in found] == pytest.approx([s for s, _ in want])
+
+
+def test_nearest_few_and_none(spark):
+    few = nearest.clean(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 2.0]), (1, [3.0, 2.0])], "vec_id long, embedding array<double>"))
+    assert [(r.query_id, r.vec_id) for r in nearest.nearest(few.where("vec_id = 0"), few).orderBy("rank").collect()] == [(0, 1), (0, 1)]
+    assert nearest.nearest(few.limit(0), few).count() == 0 and nearest.clean(few.limit(0)).count() == 0
+
+
+# revisits
+
+
+def test_revisits(spark):
+    head = {"content-type": "text/html", "content-length": "9", "etag": "a", "age": "0"}
+    rows = [
+        (1, "http://WWW.Example.com:80/p?b=2&a=1&utm_source=x#f", 10, True, "a", None, head),
+        (2, "http://example.com/p?a=1&b=2", 20, False, "a", None, {"age": "5", "content-length": "0"}),
+        (3, "http://example.com/p?a=1&b=2", 30, True, "b", None, head),
+        (4, "http://m.example.com/p?a=1&b=2", 30, False, "a", None, {}),
+        (5, "http://example.com/p?a=1&b=2", 40, False, "a", None, {}),
+        (6, "http://example.com", 5, True, None, "mon", {}),
+        (7, "http://example.com/", 50, False, "x", "mon", {"age": "1"}),
+        (8, "http://example.com/", 60, False, None, None, None),
+        (9, "http://nowhere.com/", 60, False, "x", None, {}),
+        (10, None, 60, False, "x", None, {}),
+        (11, "http://example.com/", None, False, "x", None, {}),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, full boolean, etag string, last_modified string, headers map<string,string>")
+    got = {r.record_id: (r.status, r.response_id, r.headers) for r in warc_revisits.resolve(df, slices=3).collect()}
+    assert got[2] == ("resolved", 1, {"content-type": "text/html", "content-length": "9", "etag": "a", "age": "5"})
+    assert got[4][:2] == ("resolved", 1) and got[5] == ("mismatch", 3, None)
+    assert got[7] == ("resolved", 6, {"age": "1"}) and got[8] == ("unchecked", 6, {})
+    assert all(got[k] == ("missing", None, None) for k in (9, 10, 11)) and len(got) == 8
+    assert warc_revisits.resolve(df.limit(0)).count() == 0
+
+
+# licences
+
+
+def test_licences(docs):
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 200)
+    rows = [(1, f"some prose\nReleased under the MIT License.\nmore prose"), (2, mit.replace("copies", "copy", 1)), (3, None), (4, ""), (5, "licensed the under software warranty"), (6, "LICENSED  under the apache license version 2.0!")]
+    got = {(r.doc_id, r.unit, r.line, r.license) for r in license_scan.scan(docs(rows)).collect()}
+    assert got == {(1, "line", 1, "MIT"), (2, "line", 0, "MIT"), (2, "document", -1, "MIT"), (6, "line", 0, "Apache-2.0"), (6, "document", -1, "Apache-2.0")}
+
+
+def test_anchors_are_sound():
+    for _, text in license_scan.TEMPLATES:
+        b, gone = set(license_scan._bigrams(text)), set(license_scan.anchors(text, 0.8))
+        rest = {x for x in b if not gone & set(x.split())}
+        assert len(rest) < len(b) * 0.8 / 1.2
+
+
+# all of them on awkward tables
+
+
+def test_awkward_rows(spark, awkward):
+    n, empty = awkward.count(), awkward.limit(0)
+    assert line_dedup.dedup_lines(awkward).count() == n and set(awkward.columns) <= set(line_dedup.dedup_lines(awkward).columns)
+    assert secret_scan.scan(awkward)[0].count() == n
+    assert packing.pack(awkward).select("doc_id", "doc_tokens").count() >= n
+    found = jaccard_join.jaccard_components(awkward).collect()
+    assert len(found) == n and {r.component_id for r in found if r.doc_id is None} == {None}
+    assert lm_score.score(awkward, F.col("doc_id") % 10 == 0).count() == n
+    assert license_scan.scan(awkward).count() == 0
+    model = language_id.fit(awkward)
+    assert language_id.predict(awkward, model).count() == n and language_id.without_rejected(awkward, model).columns == awkward.columns
+    assert line_dedup.dedup_lines(empty).count() == secret_scan.scan(empty)[0].count() == packing.pack(empty).count() == 0
+    assert jaccard_join.jaccard_components(empty).count() == lm_score.score(empty, F.lit(False)).count() == license_scan.scan(empty).count() == 0
+
+
+def test_word_hashes():
+    words = ["alpha", "Beta", "é", "x" * 300, "a"]
+    with np.errstate(over="ignore"):
+        h, at = shared.word_hashes([" ".join(words).encode(), b"", None, b"BETA\talpha"], "blank")
+        assert at.tolist() == [0, 5, 5, 5, 7] and len(set(h.tolist())) == 5 and h[5] == h[1] and h[6] == h[0]
+        assert len(shared.word_hashes([b"a,b.c"], "plain")[0]) == 3
+
+
+def test_queries_have_names_and_oracles():
+    from lodetext.llm import queries
+
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert set(queries.oracle_sql()) == {n for n in queries.queries() if n.split("_")[0] in ("op1", "op2", "op7", "op9")}
+    assert json.dumps(queries.oracle_sql())
