@@ -8,7 +8,7 @@ number by size zones that overlap by the size ratio 1/t). What shares an index e
 
 Copies: documents with one set are one class (a 64-bit fingerprint of the set), and only classes are joined. Pairs: each entry links its
 members to its smallest one (entries of very frequent shingles by way of salted smaller ones); after verification, pairs of
-one entry that still lie in different components are verified as well. So every link between different sets is
+one entry that still lie in different components are verified as well, unless parity bits of their sets tell them apart within the join. So every link between different sets is
 either found or lies within one component, and large groups of near copies cost pairs in proportion to their size.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; a text with fewer words than a shingle has
@@ -18,6 +18,7 @@ ignored; an empty table gives an empty result. Different sets or shingles are ta
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -38,9 +39,11 @@ ZONES = ((4, 80, 0), (64, 640, 8), (512, 5120, 32), (4096, 1 << 62, 256))
 #: log2 of the excess count from which a shingle is frequent.
 FREQUENT = 10
 #: Bits of the filter of candidate documents.
-FILTER_BITS = 26
-#: Cells of a set's parity bits.
-PARITY = 2048
+FILTER_BITS = 24
+#: Cells of a set's parity bits, and 64-bit words of the short form that members of index entries carry.
+PARITY, SHORT = 2048, 8
+#: Bytes of text whose words are hashed at once.
+BATCH = 1 << 20
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -92,7 +95,7 @@ def _classes_and_counts(width: int):
         with np.errstate(over="ignore"):
             counts = np.zeros(1 << SKETCH_BITS, np.uint32)
             seen: set[int] = set()
-            for ids, texts in shared.byte_batches(batches, ["doc_id", "text"]):
+            for ids, texts in shared.byte_batches(batches, ["doc_id", "text"], BATCH):
                 sets = shingle_sets(texts, width)
                 fps = [_fingerprint(s) for s in sets]
                 fresh = [s for s, f in zip(sets, fps, strict=True) if not (f in seen or seen.add(f))]
@@ -194,7 +197,7 @@ def _index(width: int, percent: int, levels):
         table = np.frombuffer(levels.value, np.uint8)
         seen: set[int] = set()
         with np.errstate(over="ignore"):
-            for ids, texts in shared.byte_batches(batches, ["doc_id", "text"]):
+            for ids, texts in shared.byte_batches(batches, ["doc_id", "text"], BATCH):
                 sig, fps, ns, salts = [], [], [], []
                 for s in shingle_sets(texts, width):
                     fp = _fingerprint(s)
@@ -278,14 +281,27 @@ def _filter_cell(ids: np.ndarray) -> np.ndarray:
     return (shared.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def parity_bits(s: np.ndarray) -> bytes:
-    """For each of PARITY cells, whether an odd number of shingles falls into it. Two sets' bits differ in no more cells than they have shingles apart."""
-    cell = (shared.mix(s + np.uint64(11)) >> np.uint64(32)).astype(np.int64) % PARITY
-    return np.packbits((np.bincount(cell, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+def parity_bits(s: np.ndarray, cells: int = PARITY) -> np.ndarray:
+    """For each cell, as bits of 64-bit integers, whether an odd number of shingles falls into it. Two sets' bits differ in no more cells than they have shingles apart."""
+    cell = (shared.mix(s + np.uint64(11)) >> np.uint64(32)).astype(np.int64) % cells
+    return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _wanted_sets(width: int, bits, encode):
-    """fp, n and encode(set) of the documents that the filter lets through."""
+def _whole(sets: list[np.ndarray]) -> list:
+    return [pa.array([s.tobytes() for s in sets], pa.binary())]
+
+
+def _parity(sets: list[np.ndarray]) -> list:
+    return [pa.array([parity_bits(s).tobytes() for s in sets], pa.binary())]
+
+
+def _short_parity(sets: list[np.ndarray]) -> list:
+    bits = np.array([parity_bits(s, 64 * SHORT) for s in sets], np.int64).reshape(-1, SHORT)
+    return [pa.array(bits[:, k].copy()) for k in range(SHORT)]
+
+
+def _wanted(width: int, bits, encode, names: list[str]):
+    """fp, n and encode(sets) of the documents that the filter lets through."""
 
     def run(batches):
         wanted = np.frombuffer(bits.value, np.uint8)
@@ -294,9 +310,9 @@ def _wanted_sets(width: int, bits, encode):
                 cell = _filter_cell(b.column("doc_id").to_numpy(zero_copy_only=False))
                 hit = (wanted[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
                 b = b.filter(pa.array(hit.astype(bool)))
-                for (texts,) in shared.byte_batches([b], ["text"]):
+                for (texts,) in shared.byte_batches([b], ["text"], BATCH):
                     sets = shingle_sets(texts, width)
-                    yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([encode(s) for s in sets], pa.binary())], names=["fp", "n", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *encode(sets)], names=["fp", "n", *names])
 
     return run
 
@@ -330,26 +346,35 @@ class _Verifier:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
 
-    def _with_payloads(self, pairs: DataFrame, encode, name: str) -> DataFrame:
-        """pairs (a, b) with both sets' sizes and payloads. A pair may be repeated if several documents have its sets."""
-        spark = pairs.sparkSession
-        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        holders = self.classes.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    def sets_of(self, classes: DataFrame, encode, columns: str) -> DataFrame:
+        """fp, n and what encode() gives for the sets of the classes (fp). A class may be repeated if several documents have its set."""
+        spark = classes.sparkSession
+        holders = self.classes.join(classes.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
         chunk = "chunk int, counts binary"
         chunks = holders.select("doc_id").coalesce(16).mapInArrow(_filter_bits, chunk).repartition(shared.partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_or_bits, chunk)
         bits = spark.sparkContext.broadcast(_collect_chunks(chunks, np.uint8, 1 << (FILTER_BITS - 3)).tobytes())
-        sets = shared.save(self.docs.mapInArrow(_wanted_sets(self.width, bits, encode), "fp long, n long, payload binary"), name)
+        names = [c.split()[0] for c in columns.split(", ")]
+        return self.docs.mapInArrow(_wanted(self.width, bits, encode, names), f"fp long, n long, {columns}")
+
+    def _with_payloads(self, pairs: DataFrame, encode, name: str) -> DataFrame:
+        """pairs (a, b) with both sets' sizes and payloads. A pair may be repeated."""
+        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
+        sets = shared.save(self.sets_of(ends, encode, "payload binary"), name)
         left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("payload").alias("pa"))
         right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("payload").alias("pb"))
         return pairs.select("a", "b").join(left, "a").join(right, "b")
 
+    def close(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that their parity bits leave."""
+        total, p = F.col("na") + F.col("nb"), self.percent
+        bits = self._with_payloads(pairs, _parity, f"{name}-bits").select("a", "b", total.alias("total"), _apart("pa", "pb").alias("apart"))
+        return shared.save(bits.where(F.col("apart") * (100 + p) <= F.col("total") * (100 - p)).select("a", "b").distinct(), f"{name}-close")
+
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose sets are similar: most others fall by their parity bits, the rest are compared whole."""
-        total, least = F.col("na") + F.col("nb"), self.percent
-        bits = self._with_payloads(pairs, parity_bits, f"{name}-bits").select("a", "b", total.alias("total"), _apart("pa", "pb").alias("apart"))
-        close = shared.save(bits.where(F.col("apart") * (100 + least) <= F.col("total") * (100 - least)).select("a", "b").distinct(), f"{name}-close")
-        whole = self._with_payloads(close, lambda s: s.tobytes(), f"{name}-sets").select("a", "b", total.alias("total"), _common("pa", "pb").alias("common"))
-        return shared.save(whole.where(F.lit(100) * F.col("common") >= F.lit(least) * (F.col("total") - F.col("common"))).select("a", "b").distinct(), f"{name}-links")
+        """The pairs (a, b) whose sets are similar, compared whole."""
+        total = F.col("na") + F.col("nb")
+        whole = self._with_payloads(pairs, _whole, f"{name}-sets").select("a", "b", total.alias("total"), _common("pa", "pb").alias("common"))
+        return shared.save(whole.where(F.lit(100) * F.col("common") >= F.lit(self.percent) * (F.col("total") - F.col("common"))).select("a", "b").distinct(), f"{name}-links")
 
 
 # Components -----------------------------------------------------------------
@@ -406,7 +431,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # rows with one doc_id and different sets tie their classes together as links do
     twice = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
     same_id = known.join(twice, "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))
-    links = shared.save(verify.links(pairs, "first").unionByName(same_id), "links")
+    links = shared.save(verify.links(verify.close(pairs, "first"), "first").unionByName(same_id), "links")
     labels = components(links)
 
     # pairs of one entry that lie in different components still; an entry all of whose members link with its smallest has none
@@ -416,13 +441,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     label = members.select("sig", "fp", "n").join(open_entries, "sig", "left_semi").join(labels, F.col("fp") == F.col("node"), "left")
     label = shared.save(label.select("sig", "fp", "n", F.coalesce("component", "fp").alias("label")), "labels")
     mixed = label.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    open_members = label.join(mixed, "sig", "left_semi")
-    x = open_members.select("sig", F.col("fp").alias("a"), F.col("n"), F.col("label").alias("la"))
-    y = open_members.select("sig", F.col("fp").alias("b"), F.col("n").alias("cn"), F.col("label").alias("lb"))
-    more = shared.save(x.join(y, "sig").where("a < b and la <> lb").where(fits).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-mixed")
-    if not more.isEmpty():
-        links = links.unionByName(verify.links(more, "second"))
-        labels = components(links)
+    open_members = shared.save(label.join(mixed, "sig", "left_semi"), "open")
+    if not open_members.isEmpty():
+        # pairs that parity bits tell apart aren't made at all
+        words = [f"p{k}" for k in range(SHORT)]
+        parities = verify.sets_of(open_members.select("fp"), _short_parity, ", ".join(f"{w} long" for w in words)).drop("n").dropDuplicates(["fp"])
+        with_bits = shared.save(open_members.join(parities, "fp"), "open-bits")
+        x = with_bits.select("sig", F.col("fp").alias("a"), F.col("n"), F.col("label").alias("la"), *words)
+        y = with_bits.select("sig", F.col("fp").alias("b"), F.col("n").alias("cn"), F.col("label").alias("lb"), *[F.col(w).alias(f"q{w}") for w in words])
+        apart = functools.reduce(lambda u, v: u + v, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"q{w}"))) for w in words])
+        meet = x.join(y, "sig").where("a < b and la <> lb").where(fits).where(apart * (100 + percent) <= (F.col("n") + F.col("cn")) * (100 - percent))
+        more = shared.save(meet.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-mixed")
+        if not more.isEmpty():
+            links = links.unionByName(verify.links(verify.close(more, "second"), "second"))
+            labels = components(links)
 
     of = known.join(labels, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("label"))
     least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
