@@ -18,7 +18,7 @@ from lodetext.llm import decontaminate, jaccard_join, language_id, line_dedup, p
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and those whose language stays in doubt."""
+    """Rejects texts without a language: null ones, those without letters, and all if there is nothing to learn from."""
     shared.release(spark)
     model = language_id.fit(docs.select("doc_id", "text", "lang").where(shared.id_remainder("doc_id", 5) != 0))
     return language_id.without_rejected(docs, model)

@@ -209,8 +209,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def without_rejected(docs: DataFrame, model: Model | None, least: float = 0.4) -> DataFrame:
-    """The rows of docs whose text has a language with a score of `least` or more; texts are read once and no row is moved."""
+def without_rejected(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
+    """The rows of docs whose text has a language, with a score of `least` or more; texts are read once and no row is moved.
+
+    Short texts have low scores though nothing is wrong with them, so none are rejected for that by default.
+    """
     if model is None:
         return docs.limit(0)
 
