@@ -40,6 +40,7 @@ def _hash_lines(min_chars: int):
     blanks = shared.BLANKS.encode()
 
     def run(batches):
+        shared.drop_caches()
         for b in batches:
             digests, at, pos = [], [], []
             for k, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):

@@ -26,8 +26,8 @@ from lodetext.llm import shared
 
 #: Remainders are cut to capacity // k for k up to this.
 MOST = 64
-#: Entries of the cache of a Python worker, by what stands between white space; three times as many by word.
-CACHE = 500_000
+#: Entries of the cache of a Python worker, by what stands between white space; twice as many by word.
+CACHE = 300_000
 #: Workers whose leftover pieces are put together first.
 GROUP = 32
 
@@ -82,7 +82,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def add_chunks(new: set[str]) -> None:
         if len(chunks) > CACHE:
             chunks.clear()
-        if len(cores) > 3 * CACHE:
+        if len(cores) > 2 * CACHE:
             cores.clear()
         parts = []
         for w in new:
@@ -103,6 +103,11 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             found = [f if f is None or None not in f else [chunks[x] if y is None else y for x, y in zip(w, f, strict=True)] for w, f in zip(words, found, strict=True)]
         return [ids(t).tobytes() if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
 
+    def clear() -> None:
+        chunks.clear()
+        cores.clear()
+
+    shared.caches["packing"] = clear
     _encoders[path] = run
     return run
 
@@ -166,7 +171,7 @@ def _encode_and_fill(path: str, end_id: int, capacity: int, slack: float):
         encode, me = encoder(path), _worker()
         bins, rows = _Bins(0, me), []
         for b in batches:
-            for docs, texts in shared.byte_batches([b], ["doc_id", "text"]):
+            for docs, texts in shared.byte_batches([b], ["doc_id", "text"], keep="packing"):
                 for doc, got in zip(docs, encode([t.decode() if t else "" for t in texts]), strict=True):
                     ids = memoryview(got + end)
                     total, at = len(ids) // 4, 0

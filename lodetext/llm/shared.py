@@ -136,10 +136,22 @@ def word_hashes(texts: list[bytes | None], split: str) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(starts, at)
 
 
-def byte_batches(batches: Iterable, columns: list[str], most: int = 1 << 21) -> Iterator[list]:
+#: What operators keep in a Python worker from task to task, by operator: how to let go of it.
+caches: dict = {}
+
+
+def drop_caches(keep: str | None = None) -> None:
+    """A worker that turns to another operator's task frees what the last one kept."""
+    for name, clear in caches.items():
+        if name != keep:
+            clear()
+
+
+def byte_batches(batches: Iterable, columns: list[str], most: int = 1 << 21, keep: str | None = None) -> Iterator[list]:
     """Lists of each column's values with about `most` bytes of text (the last column) at once; one long text stands alone."""
     import pyarrow as pa
 
+    drop_caches(keep)
     for b in batches:
         texts = b.column(columns[-1]).cast(pa.binary()).to_pylist()
         others = [b.column(c).to_pylist() for c in columns[:-1]]
