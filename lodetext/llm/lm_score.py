@@ -4,8 +4,10 @@ Model. A byte is eight binary decisions, each in the node of the bits before it.
 estimates of each decision are mixed over all depths with the weights of context-tree weighting, P_w = 1/2 P_e + 1/2 prod P_w(children), from the counts of all
 training texts. A text is scored by the trained tree as it stands: each decision has the mixture of the estimates along its context, where the deepest context seen in
 training takes the weight that is left. A text's bytes (A-Z lowered) are followed by an end byte, so scores are log10 probabilities of whole texts, and -score / log10(2) / bytes is
-the code length in bits per byte. Counts of byte strings are summed over all training texts; `depth` is the largest, up to DEPTH, at which
-there are no more than MOST strings, and rare contexts have no node of their own, which bounds the broadcast model whatever the corpus.
+the code length in bits per byte. Counts of byte strings are summed over all training texts, and every context seen there has its nodes, at every depth and whatever the corpus's size.
+
+The tree is never in one place. A block of documents gives its distinct strings, in parts by the context's last SPLIT bytes; a part has whole branches of the tree. Each part's counts give the
+probabilities of its branches, the nodes above them (2**16 contexts of SPLIT bytes at most) are mixed in the driver, and each block gets the probabilities of its own strings back.
 
 Base. Counts of words are summed per block of documents before they are shuffled; the totals of a block's own words go back to its documents. No vocabulary is broadcast or collected.
 
@@ -17,16 +19,19 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodetext.llm import shared
 
-DEPTH, MOST = 5, 1 << 21
+DEPTH = 5
+#: Branches of the tree are told apart by so many bytes of context; nodes above them are in one place.
+SPLIT = 2
 #: Rows of one input partition that make a block, as a power of two.
 BLOCK_BITS = 13
 _END = "\n"  # no word has white space, so this stands for the end token
@@ -59,24 +64,66 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[begin], np.add.reduceat(c, begin)
 
 
-def _count_strings(depth: int):
+def _merge_some(keys: list, counts: list) -> tuple[list, list]:
+    """The lists, merged into one array each once they are long."""
+    if len(keys) < 2 or sum(map(len, keys)) < 4_000_000:
+        return keys, counts
+    k, c = _merge(keys, counts)
+    return [k], [c]
+
+
+def _turn(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Strings with the bytes of the context in reverse, so that sorted ones of one node are neighbours. Turned twice they are as before."""
+    out = keys & np.uint64(255)
+    for k in range(depth):
+        out |= (keys >> np.uint64(8 * (k + 1)) & np.uint64(255)) << np.uint64(8 * (depth - k))
+    return out
+
+
+def _pack(x: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of integers, by place in the integer: so sorted ones compress well."""
+    return np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view(np.uint64).ravel()
+
+
+def _block_strings(depth: int, parts: int):
+    """(part, block, strings, counts in training texts) for all strings of each block's texts; a part has whole branches of the tree."""
+
+    def out(block, keys, counts):
+        k, c = _merge(keys, counts)
+        k = _turn(k, depth)
+        part = (shared.mix(k >> np.uint64(8 * (depth + 1 - min(SPLIT, depth)))) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((k, part))
+        k, c, part = k[order], c[order], part[order]
+        begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        cut = [*begin.tolist(), len(k)]
+        data = [[_pack(x[i:j], w) for i, j in zip(cut, cut[1:])] for x, w in ((k, depth + 1), (c, 8))]
+        return pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(np.full(len(begin), block, np.int64)), *(pa.array(x, pa.binary()) for x in data)], names=["part", "block", "keys", "n"])
+
     def run(batches):
-        keys: list = []
-        counts: list = []
-        for (texts,) in shared.byte_batches(batches, ["text"]):
-            s = np.sort(_strings([(t or b"").lower() for t in texts], depth)[0])
-            begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            keys.append(s[begin])
-            counts.append(np.diff(np.append(begin, len(s))))
-            if len(keys) >= 16:
-                k, c = _merge(keys, counts)
-                keys, counts = [k], [c]
-                if len(k) > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["key", "n"])
-                    keys, counts = [], []
-        if keys:
-            k, c = _merge(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["key", "n"])
+        now, keys, counts = None, [], []
+        with np.errstate(over="ignore"):
+            for blocks, held, texts in shared.byte_batches(batches, ["block", "held_out", "text"]):
+                for b in dict.fromkeys(blocks):
+                    if b != now and keys:
+                        yield out(now, keys, counts)
+                        keys, counts = [], []
+                    now = b
+                    for seen in (0, 1):
+                        mine = [(t or b"").lower() for x, h, t in zip(blocks, held, texts, strict=True) if x == b and h != seen]
+                        if mine:
+                            s = np.sort(_strings(mine, depth)[0])
+                            begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+                            keys.append(s[begin])
+                            counts.append(np.diff(np.append(begin, len(s))) * seen)
+                    keys, counts = _merge_some(keys, counts)
+            if keys:
+                yield out(now, keys, counts)
 
     return run
 
@@ -97,157 +144,187 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y
 
 
+#: Of k + 1/2 and of k + 1, for most counts.
+_HALVES, _WHOLES = log_gamma(np.arange(1024) + 0.5), log_gamma(np.arange(1024) + 1.0)
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of any order of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    total = zeros + ones
+    out = _HALVES[np.minimum(zeros, 1023).astype(np.int64)] + _HALVES[np.minimum(ones, 1023).astype(np.int64)] - _WHOLES[np.minimum(total, 1023).astype(np.int64)] - math.log(math.pi)
+    many = np.flatnonzero(total > 1023)
+    out[many] = log_gamma(zeros[many] + 0.5) + log_gamma(ones[many] + 0.5) - log_gamma(total[many] + 1.0) - math.log(math.pi)
+    return out
 
 
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For strings: the eight decisions of the last byte: node (context and the bits before) and bit, as 8 x N arrays."""
-    sym, ctx = keys & np.uint64(255), keys & ~np.uint64(255)
-    nodes, bits = [], []
+def _decisions(turned: np.ndarray, counts: np.ndarray, depth: int):
+    """For each of the eight decisions: an order of the strings, their nodes (bits before, context) in it, bits, and how often each had a zero and a one."""
+    sym, ctx, n = turned & np.uint64(255), turned >> np.uint64(8), counts.astype(np.float64)
     for b in range(8):
-        nodes.append(ctx | np.uint64(1 << b) | (sym >> np.uint64(8 - b)))
-        bits.append((sym >> np.uint64(7 - b)) & np.uint64(1))
-    return np.array(nodes), np.array(bits, dtype=np.int64)
+        nodes = (np.uint64(1 << b) | sym >> np.uint64(8 - b)) << np.uint64(8 * depth) | ctx
+        order = np.argsort(nodes, kind="stable")
+        bit = (sym[order] >> np.uint64(7 - b) & np.uint64(1)).astype(np.float64)
+        yield order, nodes[order], bit, n[order] * (1 - bit), n[order] * bit
+
+
+def _climb(nodes, zeros, ones, depth: int, split: int, log_w=None) -> list[tuple]:
+    """From sorted nodes of `depth` up to `split`: for each depth, from `split` down, where each node begins among those below, nodes, zeros, ones, logs of both probabilities.
+
+    Nodes that training didn't see count for nothing. log_w: of the nodes themselves, if they aren't leaves.
+    """
+    levels = []
+    for d in range(depth, split - 1, -1):
+        nodes = nodes if d == depth else nodes >> np.uint64(8)
+        begin = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1])))
+        nodes, zeros, ones = nodes[begin], np.add.reduceat(zeros, begin), np.add.reduceat(ones, begin)
+        log_e = log_kt(zeros, ones)
+        if d < depth:
+            log_w = np.logaddexp(log_e, np.add.reduceat(log_w, begin)) - math.log(2)
+        elif log_w is None:
+            log_w = log_e
+        levels.append((begin, nodes, zeros, ones, log_e, log_w))
+    return levels[::-1]
+
+
+def _descend(levels: list[tuple], below: int, mixed, left, one, leaves: bool):
+    """What is mixed so far, the weight that is left, and the probability of a one where the context is seen no deeper, for the `below` entries under the last level; given those above the first."""
+    for k, (begin, _, zeros, ones, log_e, log_w) in enumerate(levels):
+        kt = (ones + 0.5) / (zeros + ones + 1)
+        one = np.where(zeros + ones > 0, mixed + left * kt, one)
+        stop = 1.0 if leaves and k == len(levels) - 1 else np.exp(np.minimum(0, log_e - math.log(2) - log_w))
+        mixed, left = mixed + left * stop * kt, left * (1 - stop)
+        times = np.diff(np.append(begin, below if k == len(levels) - 1 else len(levels[k + 1][1])))
+        mixed, left, one = (np.repeat(x, times) for x in (mixed, left, one))
+    return mixed, left, one
+
+
+def _branches(turned: np.ndarray, counts: np.ndarray, depth: int, split: int) -> list[np.ndarray]:
+    """Nodes of depth `split` over whole branches of the tree, their zeros, ones and log probabilities."""
+    found = []
+    for _, nodes, _, zeros, ones in _decisions(turned, counts, depth):
+        _, top, z, o, _, w = _climb(nodes, zeros, ones, depth, split)[0]
+        found.append((top, z, o, w))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _top(nodes, zeros, ones, log_w, split: int) -> tuple[np.ndarray, ...]:
+    """The sorted nodes of depth `split`, and what reaches each from above."""
+    order = np.argsort(nodes)
+    nodes, zeros, ones, log_w = (x[order] for x in (nodes, zeros, ones, log_w))
+    levels = _climb(nodes, zeros, ones, split, 0, log_w)
+    n = len(levels[0][1])
+    return nodes, *_descend(levels[:-1], len(nodes), np.zeros(n), np.ones(n), np.full(n, 0.5), False)
+
+
+def _log_probabilities(turned: np.ndarray, counts: np.ndarray, depth: int, split: int, top: tuple) -> np.ndarray:
+    """log10 of the probability of each sorted string's last byte after the others, for whole branches of the tree."""
+    out = np.zeros(len(turned))
+    for order, nodes, bit, zeros, ones in _decisions(turned, counts, depth):
+        levels = _climb(nodes, zeros, ones, depth, split)
+        at = np.searchsorted(top[0], levels[0][1])
+        one = _descend(levels, len(nodes), *(x[at] for x in top[1:]), True)[2]
+        out[order] += np.log10(np.where(bit == 1, one, 1 - one))
+    return out
 
 
 @dataclass
 class Tree:
+    """A whole tree in one place: sorted strings of depth + 1 bytes, and their counts in training."""
+
+    keys: np.ndarray
+    counts: np.ndarray
     depth: int
-    #: For each depth: sorted nodes, and the probability of a one where the context is seen no deeper.
-    nodes: list[np.ndarray] = field(default_factory=list)
-    ones: list[np.ndarray] = field(default_factory=list)
-    #: Open-addressed table of the strings seen, and their log10 probabilities.
-    keys: np.ndarray | None = None
-    logs: np.ndarray | None = None
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each string's last byte after the others."""
+        k, c = _merge([self.keys, keys], [self.counts, np.zeros(len(keys), np.int64)])
+        turned, split = _turn(k, self.depth), min(SPLIT, self.depth)
+        logs = _log_probabilities(turned, c, self.depth, split, _top(*_branches(turned, c, self.depth, split), split))
+        return logs[np.searchsorted(k, keys)]
+
+
+def build(keys: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
+    return Tree(keys, counts, depth)
+
+
+def _part_totals(depth: int, split: int):
+    """A row for each part: its distinct strings, their counts, and its nodes of depth `split`."""
+
+    def run(batches):
+        parts: dict = {}
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for part, k, n in zip(*(b.column(c).to_pylist() for c in ("part", "keys", "n")), strict=True):
+                    keys, counts = parts.get(part, ([], []))
+                    parts[part] = _merge_some([*keys, _unpack(k, depth + 1)], [*counts, _unpack(n, 8).view(np.int64)])
+            for part in list(parts):
+                k, c = _merge(*parts.pop(part))
+                found = _branches(k, c, depth, split)
+                data = [_pack(k, depth + 1), _pack(c, 8), *(x.tobytes() for x in found)]
+                yield pa.RecordBatch.from_arrays([pa.array([part]), *(pa.array([x], pa.binary()) for x in data)], names=["part", "keys", "n", "nodes", "zeros", "ones", "log_w"])
+
+    return run
+
+
+def _part_logs(depth: int, split: int, top):
+    """(block, strings, log probabilities) from rows that are sorted by part and block; those with counts have a part's totals, and come first."""
+
+    def run(batches):
+        known = logs = None
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for block, k, n in zip(*(b.column(c).to_pylist() for c in ("block", "keys", "n")), strict=True):
+                    k = _unpack(k, depth + 1)
+                    if n is not None:
+                        known, logs = k, _log_probabilities(k, _unpack(n, 8).view(np.int64), depth, split, top.value).astype(np.float32)
+                        continue
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(k, depth + 1)], pa.binary()), pa.array([logs[np.searchsorted(known, k)].tobytes()], pa.binary())], names=["block", "keys", "logs"])
+
+    return run
+
+
+def string_logs(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(block, keys, logs): all strings of each block's texts and their log10 probabilities by the tree of all training texts."""
+    spark, split, n = rows.sparkSession, min(SPLIT, depth), shared.partitions(rows.sparkSession)
+    found = shared.save(rows.select("block", "held_out", "text").mapInArrow(_block_strings(depth, n), "part long, block long, keys binary, n binary"), "strings")
+    parts = found.select("part", "keys", "n").repartition(n, "part").mapInArrow(_part_totals(depth, split), "part long, keys binary, n binary, nodes binary, zeros binary, ones binary, log_w binary")
+    parts = shared.save(parts, "tree")
+    got = parts.select("nodes", "zeros", "ones", "log_w").toArrow()  # bounded by the nodes of `split` bytes
+    if not got.num_rows:
+        return spark.createDataFrame([], "block long, keys binary, logs binary")
+    columns = [np.frombuffer(b"".join(got.column(c).to_pylist()), t) for c, t in (("nodes", np.uint64), ("zeros", float), ("ones", float), ("log_w", float))]
+    top = spark.sparkContext.broadcast(_top(*columns, split))
+    both = parts.select("part", F.lit(-1).cast("long").alias("block"), "keys", "n").unionByName(found.select("part", "block", "keys", F.lit(None).cast("binary").alias("n")))
+    return both.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_part_logs(depth, split, top), "block long, keys binary, logs binary")
+
+
+class Table:
+    """An open-addressed table of a block's strings and their log probabilities."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        size = 1 << max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+        self.keys, self.logs = np.full(size, _EMPTY), np.zeros(size, np.float32)
+        slot, todo = shared.mix(keys) & np.uint64(size - 1), np.arange(len(keys))
+        while len(todo):
+            free = self.keys[slot[todo]] == _EMPTY
+            self.keys[slot[todo[free]]] = keys[todo[free]]
+            mine = self.keys[slot[todo]] == keys[todo]
+            self.logs[slot[todo[mine]]] = logs[todo[mine]]
+            todo = todo[~mine]
+            slot[todo] = (slot[todo] + np.uint64(1)) & np.uint64(size - 1)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """For strings that are in the table."""
         mask = np.uint64(len(self.keys) - 1)
         slot = shared.mix(keys) & mask
-        found = self.keys[slot]
-        out = self.logs[slot]
+        found, out = self.keys[slot], self.logs[slot]
         rest = np.flatnonzero(found != keys)
         while len(rest):
-            over = found[rest] == _EMPTY
-            if over.any():
-                new = rest[over]
-                distinct, back = np.unique(keys[new], return_inverse=True)
-                out[new] = self.path(distinct)[back]
-            rest = rest[~over]
             slot[rest] = (slot[rest] + np.uint64(1)) & mask
-            found[rest] = self.keys[slot[rest]]
             out[rest] = self.logs[slot[rest]]
-            rest = rest[found[rest] != keys[rest]]
+            rest = rest[self.keys[slot[rest]] != keys[rest]]
         return out
 
-    def path(self, keys: np.ndarray) -> np.ndarray:
-        """As lookup(), from the nodes."""
-        if len(keys) > 1 << 16:
-            return np.concatenate([self.path(keys[k : k + (1 << 16)]) for k in range(0, len(keys), 1 << 16)])
-        nodes, bits = _bits(keys)
-        one = np.full(nodes.shape, 0.5, np.float32)
-        for d in range(self.depth + 1):
-            # the context's last d bytes
-            part = nodes & np.uint64((1 << 8 * (d + 1)) - 1)
-            if len(self.nodes[d]):
-                at = np.minimum(np.searchsorted(self.nodes[d], part), len(self.nodes[d]) - 1)
-                one = np.where(self.nodes[d][at] == part, self.ones[d][at], one)
-        return np.log10(np.where(bits == 1, one, 1 - one).astype(np.float64)).sum(0)
-
-
-def _nodes_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions' nodes of sorted strings, and how often each had a zero and a one."""
-    sym, ctx, weight = keys & np.uint64(255), keys & ~np.uint64(255), counts.astype(np.float64)
-    parts = []
-    for b in range(8):  # keys are sorted, so the nodes of one bit are as well
-        node = ctx | np.uint64(1 << b) | (sym >> np.uint64(8 - b))
-        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(node)), bool), node[1:] != node[:-1])))
-        one = weight * ((sym >> np.uint64(7 - b)) & np.uint64(1)).astype(np.float64)
-        parts.append((node[begin], *((np.add.reduceat(x, begin) if len(begin) else x) for x in (weight - one, one))))
-    node, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(node)
-    return node[order], zeros[order], ones[order]
-
-
-def _frequent_contexts(keys: np.ndarray, counts: np.ndarray, most: int, least: int) -> tuple[np.ndarray, int]:
-    """Which sorted strings' contexts are kept, and the least count of those: `least` or as many as leave no more than `most` strings."""
-    if not len(keys):
-        return np.zeros(0, bool), least
-    ctx = keys >> np.uint64(8)
-    begin = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
-    totals, sizes = np.add.reduceat(counts, begin), np.diff(np.append(begin, len(keys)))
-    order = np.argsort(-totals, kind="stable")
-    fit_in = int(np.searchsorted(np.cumsum(sizes[order]), most, "right"))
-    if fit_in < len(order):
-        least = max(least, int(totals[order[fit_in]]) + 1)
-    return np.repeat(totals >= least, sizes), least
-
-
-def build(keys: np.ndarray, counts: np.ndarray, depth: int, most: int = 1 << 19) -> Tree:
-    """The tree of sorted strings of depth + 1 bytes and their counts in training.
-
-    Of each depth the most frequent contexts become nodes, up to `most` strings; the others of one parent count as one child, and are predicted by the parent.
-    """
-    tree = Tree(depth)
-    levels, least = [], 0
-    for d in range(depth + 1):
-        k, c = _merge([keys & np.uint64((1 << 8 * (d + 1)) - 1)], [counts]) if len(keys) else (keys, counts)
-        kept, least = _frequent_contexts(k, c, most, least)
-        levels.append(_nodes_of(k[kept], c[kept]))
-    # from the leaves up: the weight with which each node's own estimate counts
-    stops: list = [np.ones(len(levels[depth][0]), np.float32)]
-    log_w = log_kt(*levels[depth][1:])
-    for d in range(depth - 1, -1, -1):
-        up = np.searchsorted(levels[d][0], levels[d + 1][0] & np.uint64((1 << 8 * (d + 1)) - 1))
-        log_e = log_kt(*levels[d][1:])
-        rest = [np.maximum(0, levels[d][k] - np.bincount(up, levels[d + 1][k], len(log_e))) for k in (1, 2)]
-        log_w = np.logaddexp(log_e, np.bincount(up, log_w, len(log_e)) + log_kt(*rest)) - math.log(2)
-        stops.append(np.exp(np.minimum(0, log_e - math.log(2) - log_w)).astype(np.float32))
-    stops.reverse()
-    del log_w
-    # and from the root down: what is mixed so far, and the weight that is left
-    mixed, left = None, None
-    for d in range(depth + 1):
-        uniq, z, o = levels[d]
-        kt, stop = (o + 0.5) / (z + o + 1), stops[d]
-        if d:
-            up = np.searchsorted(tree.nodes[d - 1], uniq & np.uint64((1 << 8 * d) - 1))
-            mixed, left = mixed[up], left[up]
-        else:
-            mixed, left = np.zeros(len(uniq)), np.ones(len(uniq))
-        levels[d] = stops[d] = None
-        tree.nodes.append(uniq)
-        tree.ones.append((mixed + left * kt).astype(np.float32))
-        mixed, left = mixed + left * stop * kt, left * (1 - stop)
-    size = 1 << max(4, int(2 * max(1, len(keys)) - 1).bit_length())
-    tree.keys, tree.logs = np.full(size, _EMPTY), np.zeros(size, np.float32)
-    if len(keys):
-        logs = tree.path(keys)
-        slot, todo = shared.mix(keys) & np.uint64(size - 1), np.arange(len(keys))
-        while len(todo):
-            free = tree.keys[slot[todo]] == _EMPTY
-            tree.keys[slot[todo[free]]] = keys[todo[free]]
-            mine = tree.keys[slot[todo]] == keys[todo]
-            tree.logs[slot[todo[mine]]] = logs[todo[mine]]
-            todo = todo[~mine]
-            slot[todo] = (slot[todo] + np.uint64(1)) & np.uint64(size - 1)
-    return tree
-
-
-def fit(texts: DataFrame, depth: int = DEPTH, most: int = MOST) -> Tree:
-    """The tree of all texts."""
-    with np.errstate(over="ignore"):
-        strings = shared.save(texts.select("text").mapInArrow(_count_strings(depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "strings")
-        while depth and strings.count() > most:
-            depth -= 1
-            strings = shared.save(strings.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "strings")
-        got = strings.toArrow()  # no more than `most` rows
-        keys = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return build(keys[order], got.column("n").to_numpy()[order], depth)
-
 
 # Words ----------------------------------------------------------------------
 
@@ -284,10 +361,12 @@ def _block_words(batches):
         yield out()
 
 
-def _score_block(tree, n_train: int, n_distinct: int):
+def _score_block(depth: int, n_train: int, n_distinct: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            model: Tree = tree.value
+            packed = right.column("keys").is_valid()
+            mine, right = right.filter(packed), right.filter(pc.invert(packed))
+            known_strings = Table(*(np.concatenate([np.empty(0, t), *map(read, mine.column(c).to_pylist())]) for c, t, read in (("keys", np.uint64, lambda x: _turn(_unpack(x, depth + 1), depth)), ("logs", np.float32, lambda x: np.frombuffer(x, np.float32)))))
             texts = [(t or b"").lower() for t in left.column("text").cast(pa.binary()).to_pylist()]
             h, c = right.column("h").to_numpy(), right.column("c").to_numpy()
             order = np.argsort(h)
@@ -316,8 +395,8 @@ def _score_block(tree, n_train: int, n_distinct: int):
                 while end < len(texts) and (end == start or size + len(texts[end]) <= 1 << 20):
                     size += len(texts[end])
                     end += 1
-                keys, begin = _strings(texts[start:end], model.depth)
-                score[start:end] = np.add.reduceat(model.lookup(keys).astype(np.float64), begin[:-1])
+                keys, begin = _strings(texts[start:end], depth)
+                score[start:end] = np.add.reduceat(known_strings.lookup(keys).astype(np.float64), begin[:-1])
                 start = end
             return pa.table(
                 {
@@ -334,20 +413,19 @@ def _score_block(tree, n_train: int, n_distinct: int):
     return run
 
 
-def score(docs: DataFrame, held_out: F.Column, depth: int = DEPTH, most: int = MOST) -> DataFrame:
+def score(docs: DataFrame, held_out: F.Column, depth: int = DEPTH) -> DataFrame:
     """The scores of all rows of docs, learned from those for which held_out is false."""
-    spark = docs.sparkSession
     row = F.monotonically_increasing_id()  # partition and place in it: the same whenever the input is read
     block = F.shiftright(row, BLOCK_BITS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out")).withColumn("block", block)
-    tree = fit(rows.where("not held_out"), depth, most)
     word = Window.partitionBy("h")
     words = rows.select("block", "held_out", "text").mapInArrow(_block_words, "block long, h long, c long")
     totals = words.select("block", "h", F.sum("c").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("once")).where("c > 0")
     totals = shared.save(totals, "words")
     n_train, n_distinct = totals.where("once").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(tree)
-    return rows.groupBy("block").cogroup(totals.select("block", "h", "c").groupBy("block")).applyInArrow(_score_block(model, n_train, n_distinct), _SCORES)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    own = totals.select("block", "h", "c", none("keys", "binary"), none("logs", "binary")).unionByName(string_logs(rows, depth).select("block", none("h", "long"), none("c", "long"), "keys", "logs"))
+    return rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_score_block(depth, n_train, n_distinct), _SCORES)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,6 +371,19 @@ def test_the_tree_learns(docs):
     assert sum(r.score for r in got) > -0.8 * sum(len(rows[r.doc_id][1]) for r in got)  # under 2.7 bits a byte
 
 
+def test_depth_does_not_fall_with_the_corpus(docs):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(35, 127, 60_000).astype(np.uint8).tobytes().decode().lower()) for i in range(40)]
+    depth, texts = 5, [t.encode() for _, t in rows]
+    strings = [lm_score._strings([t], depth)[0] for t in texts]
+    train = [s for i, s in enumerate(strings) if i % 10]
+    k, n = lm_score._merge(train, [np.ones(len(s), np.int64) for s in train])
+    assert len(k) > 1 << 21
+    want = lm_score.build(k, n, depth).lookup(np.concatenate(strings))
+    got = by_id(lm_score.score(docs(rows), F.col("doc_id") % 10 == 0))
+    assert [got[i].score for i in range(40)] == pytest.approx([float(x.sum()) for x in np.split(want, np.cumsum([len(s) for s in strings])[:-1])], rel=1e-6)
+
+
 # nearest neighbours
 
 
