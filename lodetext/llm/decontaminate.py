@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words (runs of ASCII letters, digits and other characters that aren't ASCII punctuation or white space, lowered) are hashed under
-fixed masks that ignore chosen positions of a window, so that a window with substituted words still meets its original under one of the masks.
+fixed masks that ignore chosen positions of a window; every stretch that the rule below accepts has a window that meets its original under one of the masks (masks_for).
 Window hashes of documents and benchmark items are joined; each hit is verified along its diagonal by the longest stretch that begins and ends
 with an equal word and has at most one differing word for every four equal ones. A document is contaminated by an item if the equal words of that stretch
 reach `least` or, for shorter items, all of the item's words.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lodetext.llm import shared
 
-#: Fixed masks over windows of words: 1 is looked at, 0 is ignored. The last is for items shorter than the others.
-MASKS = ("11111111", "1101100111", "1110010111011", "1011110001111", "1111")
+#: Fixed masks over windows of words: 1 is looked at, 0 is ignored.
+MASKS = ("1111", "1110111", "111", "11", "1")
 BLOCK_BYTES = 32 << 20
 _FILTER_BITS = 20
 _HITS = "doc_id long, item_id long, matched long, length long, doc_start long, doc_end long"
@@ -43,14 +43,23 @@ def _seeds(h: np.ndarray, mask: str, k: int) -> np.ndarray:
     return shared.mix(total)
 
 
-class Benchmark:
-    """Word and window hashes of one block of items; masks are used on items that hold their windows.
+def masks_for(words: int, least: int) -> tuple[str, ...]:
+    """Masks of which one hits every stretch that counts for an item of so many words.
 
-    The mask of four words serves items of fewer than eight words alone, that of eight words all others; the spaced ones add
-    the windows with substitutions.
+    d differing words part e equal ones, e >= 4 d, into d + 1 runs at most, and one run has e / (d + 1) words or more: four at least if e >= 12,
+    but for four runs of three words with a differing word between each, which the spaced mask hits. An item of fewer than `least` words has to be there whole.
     """
+    if words < least:
+        return ("1" * min(words, 4),) if words else ()
+    least = max(least, 1)
+    run = min(-(-max(least, 4 * d) // (d + 1)) for d in range(6))
+    return MASKS[:2] if least == 12 else ("1" * min(run, 4),)
+
+
+class Benchmark:
+    """Word and window hashes of one block of items, under the masks that each item needs."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], least: int = 12):
         self.ids = [i for i, _ in items]
         with np.errstate(over="ignore"):
             words, at = shared.word_hashes([(t or "").encode() for _, t in items], "plain")
@@ -58,9 +67,8 @@ class Benchmark:
             item, pos, seed, mask = [], [], [], []
             for i in range(len(items)):
                 w = words[at[i] : at[i + 1]]
-                for k, m in enumerate(MASKS):
-                    if (len(m) == 4) != (len(w) < 8):
-                        continue
+                for m in masks_for(len(w), least):
+                    k = MASKS.index(m)
                     s = _seeds(w, m, k)
                     seed.append(s)
                     item.append(np.full(len(s), i))
@@ -121,7 +129,7 @@ def overlaps(bench: Benchmark, texts: list[bytes | None], least: int) -> list[tu
 
 def _search(items, least: int):
     def run(batches):
-        bench = Benchmark(items.value)
+        bench = Benchmark(items.value, least)
         with np.errstate(over="ignore"):
             for ids, texts in shared.byte_batches(batches, ["doc_id", "text"]):
                 rows = [(ids[d], bench.ids[i], *r) for d, i, *r in overlaps(bench, texts, least)]
@@ -133,7 +141,7 @@ def _search(items, least: int):
 
 def _without(items, least: int):
     def run(batches):
-        bench = Benchmark(items.value)
+        bench = Benchmark(items.value, least)
         with np.errstate(over="ignore"):
             for b in batches:
                 keep, done = np.ones(b.num_rows, bool), 0

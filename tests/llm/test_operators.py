@@ -243,6 +243,25 @@ def test_benchmark_in_blocks(spark, docs, monkeypatch):
     assert [r.doc_id for r in decontaminate.decontaminate(docs(rows), bench).collect()] == [50]
 
 
+def test_masks_hit_every_pattern_of_the_rule():
+    hit = lambda p, m: any(all(p[i + j] for j, x in enumerate(m) if x == "1") for i in range(len(p) - len(m) + 1))
+    for size in range(12, 20):
+        for bits in range(1 << size):
+            p = [bits >> i & 1 for i in range(size)]
+            if p[0] and p[-1] and sum(p) >= max(12, 4 * (size - sum(p))):
+                assert any(hit(p, m) for m in decontaminate.masks_for(size, 12)), p
+
+
+def test_every_fifth_word_differs(spark, docs):
+    words = [f"w{i}" for i in range(60)]
+    changed = [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(words[:59])]
+    threes = [f"x{i}" if i % 4 == 3 else w for i, w in enumerate(words[:15])]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "one"), (3, "just two"), (4, "only three words")], "item_id long, text string")
+    texts = ["a b " + " ".join(changed) + " c", "y " + " ".join(threes) + " z", "one here", "just two here", "the only three words here"]
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminations(docs(texts), bench).collect()}
+    assert got == {(0, 1, 48), (1, 1, 12), (2, 2, 1), (3, 3, 2), (4, 4, 3)}
+
+
 def test_longest_stretch():
     rng = random.Random(9)
     for _ in range(300):
