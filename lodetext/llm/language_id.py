@@ -2,7 +2,7 @@
 
 The network reads windows of WINDOW bytes in both directions, gives every position language probabilities, and a document the mean over all positions of
 its letters (bytes of ASCII letters and of other characters), in all windows of its whole text. It is trained with numpy by backpropagation through time on
-a bounded sample of labelled documents (SAMPLE for each language, chosen by a hash of the id), with Adam. Gates use piecewise linear
+a bounded sample of labelled documents (SAMPLE for each language, chosen by a hash of id and text), with Adam. Gates use piecewise linear
 forms of the logistic function and the hyperbolic tangent, which cost no exponential at each byte.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without labelled documents to learn from every text is `und`; a null doc_id counts as held out;
@@ -16,14 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodetext.llm import shared
 
 WINDOW, HIDDEN, BLOCK = 128, 8, 2048
-#: The bounds of what is learned from: documents for each language, windows for each document, languages.
-SAMPLE, WINDOWS, LANGUAGES = 400, 6, 64
+#: The bounds of what is learned from: documents for each language, windows for each document.
+SAMPLE, WINDOWS = 400, 6
 
 _LETTER = re.compile(r"[^\W\d_]")
 _COUNTS = np.zeros(256, np.float32)
@@ -171,18 +171,15 @@ def classify(model: Model, texts: list[bytes | None]) -> tuple[list[str], list[f
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learns from about `sample` rows (doc_id, text, lang) of each of the LANGUAGES most frequent languages."""
+    """Learns from at most `sample` rows (doc_id, text, lang) of each language, those with the least hashes of id and text."""
     rows = labelled.where("lang is not null and text is not null and doc_id is not null")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample / n))])
-    drawn = (F.xxhash64("doc_id", F.lit("fit")).bitwiseAND(F.lit(0xFFFFF)) / float(1 << 20)) < share[F.col("lang")]
     # windows spread over the whole text, so that what reaches the driver is bounded
     at = lambda j: F.floor(F.greatest(F.length("text") - WINDOW, F.lit(0)) * F.lit(j / max(1, WINDOWS - 1)) + 1).cast("int")
     parts = F.array(*[F.substring(F.col("text"), at(j), F.lit(WINDOW)) for j in range(WINDOWS)])
-    chosen = rows.where(drawn).select("doc_id", "lang", parts.alias("parts")).limit(2 * sample * len(counts)).collect()
-    chosen.sort(key=lambda r: r.doc_id)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit("fit")), "doc_id"))  # cut in each input partition before rows are moved
+    hashed = rows.select("doc_id", "lang", parts.alias("parts"), place.alias("place"))
+    chosen = hashed.where(F.col("place") <= sample).select("doc_id", "lang", "parts").collect()
+    chosen.sort(key=lambda r: (r.doc_id, r.lang, r.parts))
     languages = sorted({r.lang for r in chosen})
     texts, labels = [], []
     for r in chosen:

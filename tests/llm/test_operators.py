@@ -290,6 +290,12 @@ def test_language_id(spark):
     assert language_id.fit(df.limit(0)) is None and {r.lang_pred for r in language_id.predict(df, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"some letters {i}", f"l{i % 70:02}") for i in range(140)] + [(999, f"copies {i % 3}", "l00") for i in range(300)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=2)
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+
+
 def test_gradients_through_time(monkeypatch):
     rng = np.random.default_rng(1)
     x, u, table = rng.integers(0, 256, (6, 3)), rng.standard_normal((4, 12)).astype(np.float32) * 0.3, rng.standard_normal((256, 12)).astype(np.float32) * 0.3
