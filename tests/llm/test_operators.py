@@ -396,6 +396,38 @@ def test_the_tree_learns(docs):
     assert sum(r.score for r in got) > -0.8 * sum(len(rows[r.doc_id][1]) for r in got)  # under 2.7 bits a byte
 
 
+def test_every_context_is_a_node():
+    rng = np.random.default_rng(9)
+    strings = rng.permutation(100**3)[:700_000]  # more than 1 << 19
+    before, last, sym = strings // 10_000, strings // 100 % 100, strings % 100
+    counts = rng.integers(1, 4, len(strings))
+    n = np.zeros((2, 256, 100, 100))
+    for b in range(8):
+        np.add.at(n, (sym >> (7 - b) & 1, (1 << b) | sym >> (8 - b), last, before), counts)
+
+    def kt(z, o):
+        values, at = np.unique(np.concatenate([z.ravel() + 0.5, o.ravel() + 0.5, (z + o).ravel() + 1]), return_inverse=True)
+        a, b, c = np.split(np.array([math.lgamma(v) for v in values])[at], 3)
+        return (a + b - c - math.log(math.pi)).reshape(z.shape)
+
+    levels = [n.sum((2, 3), keepdims=True), n.sum(3, keepdims=True), n]
+    e = [kt(*x) for x in levels]
+    w1 = np.logaddexp(e[1], e[2].sum(2, keepdims=True)) - math.log(2)
+    w0 = np.logaddexp(e[0], w1.sum(1, keepdims=True)) - math.log(2)
+    q = [(o + 0.5) / (z + o + 1) for z, o in levels]
+    s0, s1 = (np.exp(a - math.log(2) - b) for a, b in ((e[0], w0), (e[1], w1)))
+    one = s0 * q[0] + (1 - s0) * (s1 * q[1] + (1 - s1) * q[2])
+    want = np.zeros(1000)
+    for b in range(8):
+        p = one[(1 << b) | sym[:1000] >> (8 - b), last[:1000], before[:1000]]
+        want += np.log10(np.where(sym[:1000] >> (7 - b) & 1, p, 1 - p))
+    keys = (before << 16 | last << 8 | sym).astype(np.uint64)
+    order = np.argsort(keys)
+    with np.errstate(over="ignore"):
+        got = lm_score.build(keys[order], counts[order], 2).lookup(keys[:1000])
+    assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_depth_does_not_fall_with_the_corpus(docs):
     rng = np.random.default_rng(8)
     rows = [(i, rng.integers(35, 127, 60_000).astype(np.uint8).tobytes().decode().lower()) for i in range(40)]
