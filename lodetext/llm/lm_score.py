@@ -6,25 +6,28 @@ training texts. A text is scored by the trained tree as it stands: each decision
 training takes the weight that is left. A text's bytes (A-Z lowered) are followed by an end byte, so scores are log10 probabilities of whole texts, and -score / log10(2) / bytes is
 the code length in bits per byte. Counts of byte strings are summed over all training texts, and every context seen there has its nodes, at every depth and whatever the corpus's size.
 
-The tree is never in one place. A block of documents gives its distinct strings, in parts by the context's last SPLIT bytes; a part has whole branches of the tree. Each part's counts give the
-probabilities of its branches, the nodes above them (2**16 contexts of SPLIT bytes at most) are mixed in the driver, and each block gets the probabilities of its own strings back.
+The tree is never in one place. Documents are first saved in blocks of at most BLOCK_BYTES of text, with each block's distinct strings and words and their counts in training texts, dealt
+into parts: words by hash, strings by the context's last SPLIT bytes, so that a part has whole branches of the tree. Each part's counts give the probabilities of its branches, the nodes above
+them (2**16 contexts of SPLIT bytes at most) are mixed in the driver, and each block gets the probabilities of its own strings back.
 
-Base. Counts of words are summed per block of documents before they are shuffled; the totals of a block's own words go back to its documents. No vocabulary is broadcast or collected.
+Base. The counts of words are summed in the same way, and each block gets the totals of its own words back. No vocabulary is broadcast or collected. A string or word is one entry of a block,
+however frequent it is, so no part is hot.
 
 Defined cases: a null text is empty (one token, the end); a null doc_id is held out; repeated rows each count; other columns are ignored; an
-empty table gives an empty result, and without training texts every token has probability 1 in the base and every decision 1/2 in the model. Words are told apart by a 64-bit hash.
+empty table gives an empty result, and without training texts every token has probability 1 in the base and every decision 1/2 in the model. Words are told apart by a 64-bit hash. A NUL within a
+text counts as the end byte in the model.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodetext.llm import shared
@@ -32,30 +35,49 @@ from lodetext.llm import shared
 DEPTH = 5
 #: Branches of the tree are told apart by so many bytes of context; nodes above them are in one place.
 SPLIT = 2
-#: Rows of one input partition that make a block, as a power of two.
-BLOCK_BITS = 13
-_END = "\n"  # no word has white space, so this stands for the end token
+#: Bytes of text in a block (one longer text is a block of its own), and bytes that are looked at together.
+BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
+_DOC, _STRINGS, _WORDS = 0, 1, 2
+_END = np.uint64(0x6A09E667F3BCC909)  # stands for the hash of the end token
 _EMPTY = np.uint64(2**64 - 1)
+_SAVED = "kind int, block long, doc_id long, held_out boolean, text string, part int, keys binary, n binary"
+_TOTALS = "kind int, part int, keys binary, n binary, total long, known long, nodes binary, zeros binary, ones binary, log_w binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 # Byte strings ---------------------------------------------------------------
 
 
-def _strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The depth + 1 bytes that end at each byte of each text and at its end, as integers; and where texts begin."""
-    pad = b"\0" * depth
-    a = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8)
+def _slices(text: bytes, depth: int) -> list[tuple[bytes, bytes]]:
+    """(bytes before, bytes) that make up a text and its end, SLICE bytes at most in each."""
+    text = b"\0" * depth + text + b"\0"
+    return [(text[k : k + depth], text[k + depth : k + depth + SLICE]) for k in range(0, len(text) - depth, SLICE)]
+
+
+def _slice_strings(slices: list[tuple[bytes, bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The depth + 1 bytes that end at each byte of each slice, as integers; and where slices begin."""
+    a = np.frombuffer(b"".join(x for s in slices for x in s), np.uint8)
     key = np.zeros(len(a) - depth, np.uint64)
     for k in range(depth + 1):
         key <<= np.uint64(8)
         key |= a[k : len(a) - depth + k]
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    lengths = np.array([len(t) for _, t in slices], np.int64)
     begin = np.concatenate(([0], np.cumsum(lengths)))
-    skip = np.repeat(np.arange(len(texts)) * depth, lengths)
+    skip = np.repeat(np.arange(len(slices)) * depth, lengths)
     return key[np.arange(begin[-1]) + skip], begin
 
 
+def _strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The depth + 1 bytes that end at each byte of each text and at its end, as integers; and where texts begin."""
+    return _slice_strings([(b"\0" * depth, t + b"\0") for t in texts], depth)
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.sort(x)
+    begin = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return x[begin], np.diff(np.append(begin, len(x)))
+
+
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
@@ -66,7 +88,7 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def _merge_some(keys: list, counts: list) -> tuple[list, list]:
     """The lists, merged into one array each once they are long."""
-    if len(keys) < 2 or sum(map(len, keys)) < 4_000_000:
+    if len(keys) < 2 or sum(map(len, keys)) < 1_000_000:
         return keys, counts
     k, c = _merge(keys, counts)
     return [k], [c]
@@ -91,39 +113,121 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _block_strings(depth: int, parts: int):
-    """(part, block, strings, counts in training texts) for all strings of each block's texts; a part has whole branches of the tree."""
-
-    def out(block, keys, counts):
-        k, c = _merge(keys, counts)
-        k = _turn(k, depth)
-        part = (shared.mix(k >> np.uint64(8 * (depth + 1 - min(SPLIT, depth)))) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((k, part))
-        k, c, part = k[order], c[order], part[order]
-        begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        cut = [*begin.tolist(), len(k)]
-        data = [[_pack(x[i:j], w) for i, j in zip(cut, cut[1:])] for x, w in ((k, depth + 1), (c, 8))]
-        return pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(np.full(len(begin), block, np.int64)), *(pa.array(x, pa.binary()) for x in data)], names=["part", "block", "keys", "n"])
+# Blocks ---------------------------------------------------------------------
+
+
+def _by_bytes(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with `most` bytes together; a longer one stands alone."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > start and size + len(t) > most:
+            yield start, k
+            start, size = k, 0
+        size += len(t)
+    if texts:
+        yield start, len(texts)
+
+
+def _words(text: bytes) -> Iterator[bytes]:
+    """A text, cut at blanks into parts of about SLICE bytes; a longer word stays whole."""
+    start = 0
+    while len(text) - start > SLICE:
+        end = max(text.rfind(c, start, start + SLICE) for c in (b" ", b"\n", b"\t"))
+        if end <= start:
+            break
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
+
+
+class _Block:
+    """Distinct strings and words of a block's texts, with their counts in training texts."""
+
+    def __init__(self, number: int, depth: int, parts: int):
+        self.number, self.depth, self.parts, self.size, self.rows = number, depth, parts, 0, 0
+        self.found: dict[int, tuple[list, list]] = {_STRINGS: ([], []), _WORDS: ([], [])}
+
+    def _add(self, kind: int, x: np.ndarray, seen: int) -> None:
+        if len(x):
+            keys, counts = _counted(x)
+            mine = self.found[kind]
+            mine[0].append(keys)
+            mine[1].append(counts * seen)
+            self.found[kind] = _merge_some(*mine)
+
+    def add(self, texts: list[bytes], held: list[bool]) -> None:
+        for seen in (0, 1):
+            mine = [t for t, h in zip(texts, held, strict=True) if h != seen]
+            for a, b in _by_bytes(mine, SLICE):
+                slices = [x for t in mine[a:b] for x in _slices(t, self.depth)]
+                for i, j in _by_bytes([x for _, x in slices], SLICE):
+                    self._add(_STRINGS, _slice_strings(slices[i:j], self.depth)[0], seen)
+                for part in _words(mine[a]) if b == a + 1 else [b"\n".join(mine[a:b])]:
+                    self._add(_WORDS, shared.word_hashes([part], "blank")[0], seen)
+            self._add(_WORDS, np.full(len(mine), _END), seen)
+        self.size += sum(map(len, texts))
+        self.rows += len(texts)
+
+    def found_rows(self) -> Iterator[pa.RecordBatch]:
+        for kind, (keys, counts) in self.found.items():
+            if not keys:
+                continue
+            k, c = _merge(keys, counts)
+            if kind == _STRINGS:
+                k = _turn(k, self.depth)
+                hashed = shared.mix(k >> np.uint64(8 * (self.depth + 1 - min(SPLIT, self.depth))))
+            else:
+                hashed = k
+            part = (hashed % np.uint64(self.parts)).astype(np.int32)
+            order = np.lexsort((k, part))
+            k, c, part = k[order], c[order], part[order]
+            begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            cut = [*begin.tolist(), len(k)]
+            data = [[_pack(x[i:j], w) for i, j in zip(cut, cut[1:])] for x, w in ((k, _width(kind, self.depth)), (c, 8))]
+            n = len(begin)
+            yield pa.RecordBatch.from_arrays([_kinds(kind, n), pa.array(np.full(n, self.number, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string()), pa.array(part[begin]), *(pa.array(x, pa.binary()) for x in data)], names=_names(_SAVED))
+
+
+def _width(kind: int, depth: int) -> int:
+    return depth + 1 if kind == _STRINGS else 8
+
+
+def _kinds(kind: int, n: int) -> pa.Array:
+    return pa.array(np.full(n, kind, np.int32))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _in_blocks(depth: int, parts: int):
+    """The rows with the number of their block, and the block's strings and words by part."""
 
     def run(batches):
-        now, keys, counts = None, [], []
+        from pyspark import TaskContext
+
+        shared.drop_caches()
+        number = TaskContext.get().partitionId() << 33
+        block = _Block(number, depth, parts)
         with np.errstate(over="ignore"):
-            for blocks, held, texts in shared.byte_batches(batches, ["block", "held_out", "text"]):
-                for b in dict.fromkeys(blocks):
-                    if b != now and keys:
-                        yield out(now, keys, counts)
-                        keys, counts = [], []
-                    now = b
-                    for seen in (0, 1):
-                        mine = [(t or b"").lower() for x, h, t in zip(blocks, held, texts, strict=True) if x == b and h != seen]
-                        if mine:
-                            s = np.sort(_strings(mine, depth)[0])
-                            begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-                            keys.append(s[begin])
-                            counts.append(np.diff(np.append(begin, len(s))) * seen)
-                    keys, counts = _merge_some(keys, counts)
-            if keys:
-                yield out(now, keys, counts)
+            for b in batches:
+                texts = [(t or b"").lower() for t in b.column("text").cast(pa.binary()).to_pylist()]
+                held, start = b.column("held_out").to_pylist(), 0
+                while start < len(texts):
+                    end, size = start, block.size
+                    while end < len(texts) and (size + len(texts[end]) <= BLOCK_BYTES or (end == start and not block.rows)):
+                        size += len(texts[end])
+                        end += 1
+                    if end > start:
+                        block.add(texts[start:end], held[start:end])
+                        rows, n = b.slice(start, end - start), end - start
+                        yield pa.RecordBatch.from_arrays([_kinds(_DOC, n), pa.array(np.full(n, block.number, np.int64)), rows.column("doc_id"), rows.column("held_out"), rows.column("text").cast(pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=_names(_SAVED))
+                    if end < len(texts):
+                        yield from block.found_rows()
+                        number += 1
+                        block = _Block(number, depth, parts)
+                    start = end
+            yield from block.found_rows()
 
     return run
 
@@ -248,56 +352,43 @@ def build(keys: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
 
 
 def _part_totals(depth: int, split: int):
-    """A row for each part: its distinct strings, their counts, and its nodes of depth `split`."""
+    """A row for each kind and part: distinct keys, their counts, the counts' sum and how many aren't zero; for strings the part's nodes of depth `split`."""
 
     def run(batches):
         parts: dict = {}
         with np.errstate(over="ignore"):
             for b in batches:
-                for part, k, n in zip(*(b.column(c).to_pylist() for c in ("part", "keys", "n")), strict=True):
-                    keys, counts = parts.get(part, ([], []))
-                    parts[part] = _merge_some([*keys, _unpack(k, depth + 1)], [*counts, _unpack(n, 8).view(np.int64)])
-            for part in list(parts):
-                k, c = _merge(*parts.pop(part))
-                found = _branches(k, c, depth, split)
-                data = [_pack(k, depth + 1), _pack(c, 8), *(x.tobytes() for x in found)]
-                yield pa.RecordBatch.from_arrays([pa.array([part]), *(pa.array([x], pa.binary()) for x in data)], names=["part", "keys", "n", "nodes", "zeros", "ones", "log_w"])
+                for kind, part, k, n in zip(*(b.column(c).to_pylist() for c in ("kind", "part", "keys", "n")), strict=True):
+                    keys, counts = parts.get((kind, part), ([], []))
+                    parts[kind, part] = _merge_some([*keys, _unpack(k, _width(kind, depth))], [*counts, _unpack(n, 8).view(np.int64)])
+            for kind, part in list(parts):
+                k, c = _merge(*parts.pop((kind, part)))
+                found = [x.tobytes() for x in _branches(k, c, depth, split)] if kind == _STRINGS else [None] * 4
+                data = [_pack(k, _width(kind, depth)), _pack(c, 8)]
+                sums = [int(c.sum()), int(np.count_nonzero(c))]
+                yield pa.RecordBatch.from_arrays([_kinds(kind, 1), pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in data), *(pa.array([x], pa.int64()) for x in sums), *(pa.array([x], pa.binary()) for x in found)], names=_names(_TOTALS))
 
     return run
 
 
-def _part_logs(depth: int, split: int, top):
-    """(block, strings, log probabilities) from rows that are sorted by part and block; those with counts have a part's totals, and come first."""
+def _replies(depth: int, split: int, top):
+    """For each block's keys their counts (words) or log probabilities (strings), from rows sorted by kind, part and block; block -1 has a part's totals, and comes first."""
 
     def run(batches):
-        known = logs = None
+        known = values = None
         with np.errstate(over="ignore"):
             for b in batches:
-                for block, k, n in zip(*(b.column(c).to_pylist() for c in ("block", "keys", "n")), strict=True):
-                    k = _unpack(k, depth + 1)
-                    if n is not None:
-                        known, logs = k, _log_probabilities(k, _unpack(n, 8).view(np.int64), depth, split, top.value).astype(np.float32)
+                for kind, block, k, n in zip(*(b.column(c).to_pylist() for c in ("kind", "block", "keys", "n")), strict=True):
+                    data, k = k, _unpack(k, _width(kind, depth))
+                    if block == -1:
+                        c = _unpack(n, 8).view(np.int64)
+                        known, values = k, c if kind == _WORDS else _log_probabilities(k, c, depth, split, top.value).astype(np.float32)
                         continue
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(k, depth + 1)], pa.binary()), pa.array([logs[np.searchsorted(known, k)].tobytes()], pa.binary())], names=["block", "keys", "logs"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), _kinds(kind, 1), pa.array([data], pa.binary()), pa.array([values[np.searchsorted(known, k)].tobytes()], pa.binary())], names=["block", "kind", "keys", "values"])
 
     return run
 
 
-def string_logs(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(block, keys, logs): all strings of each block's texts and their log10 probabilities by the tree of all training texts."""
-    spark, split, n = rows.sparkSession, min(SPLIT, depth), shared.partitions(rows.sparkSession)
-    found = shared.save(rows.select("block", "held_out", "text").mapInArrow(_block_strings(depth, n), "part long, block long, keys binary, n binary"), "strings")
-    parts = found.select("part", "keys", "n").repartition(n, "part").mapInArrow(_part_totals(depth, split), "part long, keys binary, n binary, nodes binary, zeros binary, ones binary, log_w binary")
-    parts = shared.save(parts, "tree")
-    got = parts.select("nodes", "zeros", "ones", "log_w").toArrow()  # bounded by the nodes of `split` bytes
-    if not got.num_rows:
-        return spark.createDataFrame([], "block long, keys binary, logs binary")
-    columns = [np.frombuffer(b"".join(got.column(c).to_pylist()), t) for c, t in (("nodes", np.uint64), ("zeros", float), ("ones", float), ("log_w", float))]
-    top = spark.sparkContext.broadcast(_top(*columns, split))
-    both = parts.select("part", F.lit(-1).cast("long").alias("block"), "keys", "n").unionByName(found.select("part", "block", "keys", F.lit(None).cast("binary").alias("n")))
-    return both.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_part_logs(depth, split, top), "block long, keys binary, logs binary")
-
-
 class Table:
     """An open-addressed table of a block's strings and their log probabilities."""
 
@@ -326,87 +417,56 @@ class Table:
         return out
 
 
-# Words ----------------------------------------------------------------------
-
-
-def _hash_words(words) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
-
-    return np.fromiter((xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
-
-
-def _tokens(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), _END.encode()]
-
+# Scores ---------------------------------------------------------------------
 
-def _block_words(batches):
-    """(block, word, count in its training texts) for all words of each block."""
-    block, seen, train = None, set(), Counter()
 
-    def out():
-        words = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int64)), pa.array(_hash_words(words)), pa.array([train[w] for w in words], pa.int64())], names=["block", "h", "c"])
-
-    for blocks, held, texts in shared.byte_batches(batches, ["block", "held_out", "text"]):
-        for b, h, t in zip(blocks, held, texts, strict=True):
-            if b != block:
-                if seen:
-                    yield out()
-                block, seen, train = b, set(), Counter()
-            tokens = _tokens(t)
-            seen.update(tokens)
-            if not h:
-                train.update(tokens)
-    if seen:
-        yield out()
+def _read(rows: pa.Table, kind: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and values of one kind that a block got back."""
+    mine = rows.filter(pc.equal(rows.column("kind"), kind))
+    keys = [_unpack(x, _width(kind, depth)) for x in mine.column("keys").to_pylist()]
+    t = np.float32 if kind == _STRINGS else np.int64
+    values = [np.frombuffer(x, t) for x in mine.column("values").to_pylist()]
+    return np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, t), *values])
 
 
 def _score_block(depth: int, n_train: int, n_distinct: int):
+    floor = math.log10(n_train + 0.1 * (n_distinct + 1))
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            packed = right.column("keys").is_valid()
-            mine, right = right.filter(packed), right.filter(pc.invert(packed))
-            known_strings = Table(*(np.concatenate([np.empty(0, t), *map(read, mine.column(c).to_pylist())]) for c, t, read in (("keys", np.uint64, lambda x: _turn(_unpack(x, depth + 1), depth)), ("logs", np.float32, lambda x: np.frombuffer(x, np.float32)))))
-            texts = [(t or b"").lower() for t in left.column("text").cast(pa.binary()).to_pylist()]
-            h, c = right.column("h").to_numpy(), right.column("c").to_numpy()
+            keys, logs = _read(right, _STRINGS, depth)
+            strings = Table(_turn(keys, depth), logs)
+            h, c = _read(right, _WORDS, depth)
             order = np.argsort(h)
             h, c = h[order], c[order]
-            place: dict[bytes, int] = {}
-            tokens = [_tokens(t) for t in texts]
-            for doc in tokens:
-                for w in doc:
-                    if w not in place:
-                        place[w] = len(place)
-            count = np.zeros(len(place))
-            if len(h):
-                mine = _hash_words(list(place))
-                at = np.minimum(np.searchsorted(h, mine), len(h) - 1)
-                count = np.where(h[at] == mine, c[at], 0).astype(float)
-            logs, known = np.log10(count + 0.1), count > 0
-            floor = math.log10(n_train + 0.1 * (n_distinct + 1))
-            base, n_known, score = [], [], np.zeros(len(texts))
-            for doc in tokens:
-                ids = np.fromiter(map(place.__getitem__, doc), np.int64, len(doc))
-                base.append(float(logs[ids].sum() - len(doc) * floor))
-                n_known.append(int(known[ids].sum()))
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end]) <= 1 << 20):
-                    size += len(texts[end])
-                    end += 1
-                keys, begin = _strings(texts[start:end], depth)
-                score[start:end] = np.add.reduceat(known_strings.lookup(keys).astype(np.float64), begin[:-1])
-                start = end
+            texts = [(t or b"").lower() for t in left.column("text").cast(pa.binary()).to_pylist()]
+            n = len(texts)
+            n_tokens, n_known, base, score = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+
+            def add_words(hashes, of):
+                found = c[np.searchsorted(h, hashes)]
+                np.add.at(n_known, of, found > 0)
+                np.add.at(base, of, np.log10(found + 0.1) - floor)
+
+            for a, b in _by_bytes(texts, SLICE):
+                for part in _words(texts[a]) if b == a + 1 else [None]:
+                    hashes, at = shared.word_hashes(texts[a:b] if part is None else [part], "blank")
+                    n_tokens[a:b] += np.diff(at)
+                    add_words(hashes, np.repeat(np.arange(a, b), np.diff(at)))
+                slices = [(k, x) for k in range(a, b) for x in _slices(texts[k], depth)]
+                for i, j in _by_bytes([x for _, (_, x) in slices], SLICE):
+                    found, begin = _slice_strings([x for _, x in slices[i:j]], depth)
+                    np.add.at(score, [k for k, _ in slices[i:j]], np.add.reduceat(strings.lookup(found).astype(np.float64), begin[:-1]))
+            add_words(np.full(n, _END), np.arange(n))
             return pa.table(
                 {
                     "doc_id": left.column("doc_id"),
                     "held_out": left.column("held_out"),
-                    "n_tokens": pa.array([len(d) for d in tokens], pa.int64()),
-                    "n_known": pa.array(n_known, pa.int64()),
-                    "train_tokens": pa.array([n_train] * len(texts), pa.int64()),
-                    "base_score": pa.array(base, pa.float64()),
-                    "score": pa.array(score, pa.float64()),
+                    "n_tokens": pa.array(n_tokens),
+                    "n_known": pa.array(n_known),
+                    "train_tokens": pa.array(np.full(n, n_train, np.int64)),
+                    "base_score": pa.array(base),
+                    "score": pa.array(score),
                 }
             )
 
@@ -415,17 +475,21 @@ def _score_block(depth: int, n_train: int, n_distinct: int):
 
 def score(docs: DataFrame, held_out: F.Column, depth: int = DEPTH) -> DataFrame:
     """The scores of all rows of docs, learned from those for which held_out is false."""
-    row = F.monotonically_increasing_id()  # partition and place in it: the same whenever the input is read
-    block = F.shiftright(row, BLOCK_BITS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out")).withColumn("block", block)
-    word = Window.partitionBy("h")
-    words = rows.select("block", "held_out", "text").mapInArrow(_block_words, "block long, h long, c long")
-    totals = words.select("block", "h", F.sum("c").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("once")).where("c > 0")
-    totals = shared.save(totals, "words")
-    n_train, n_distinct = totals.where("once").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    own = totals.select("block", "h", "c", none("keys", "binary"), none("logs", "binary")).unionByName(string_logs(rows, depth).select("block", none("h", "long"), none("c", "long"), "keys", "logs"))
-    return rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_score_block(depth, n_train, n_distinct), _SCORES)
+    spark, split, parts = docs.sparkSession, min(SPLIT, depth), shared.partitions(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
+    saved = shared.save(rows.mapInArrow(_in_blocks(depth, parts), _SAVED), "blocks")
+    found = saved.where(F.col("kind") != _DOC).select("kind", "part", "block", "keys", "n")
+    totals = shared.save(found.repartitionById(parts, "part").mapInArrow(_part_totals(depth, split), _TOTALS), "tree")
+    n_train, n_distinct = totals.where(F.col("kind") == _WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    got = totals.where(F.col("kind") == _STRINGS).select("nodes", "zeros", "ones", "log_w").toArrow()  # bounded by the nodes of `split` bytes
+    if not got.num_rows:
+        return spark.createDataFrame([], _SCORES)
+    columns = [np.frombuffer(b"".join(got.column(c).to_pylist()), t) for c, t in (("nodes", np.uint64), ("zeros", float), ("ones", float), ("log_w", float))]
+    top = spark.sparkContext.broadcast(_top(*columns, split))
+    asked = found.unionByName(totals.select("kind", "part", F.lit(-1).cast("long").alias("block"), "keys", "n"))
+    replies = asked.repartitionById(parts, "part").sortWithinPartitions("kind", "part", "block").mapInArrow(_replies(depth, split, top), "block long, kind int, keys binary, values binary")
+    blocks = saved.where(F.col("kind") == _DOC).select("block", "doc_id", "held_out", "text")
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score_block(depth, n_train, n_distinct), _SCORES)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
