@@ -8,14 +8,15 @@ class and worker) is filled class by class, for groups of workers and then for a
 capacity bounds, whatever the data) goes into the last bins by first fit in falling order of length.
 
 Defined cases: a null or empty text gives the end id alone; a null doc_id is packed like any other; repeated rows are
-separate documents; other columns are ignored; an empty table gives no piece.
+separate documents; other columns are ignored; an empty table gives no piece. Words are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import zlib
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,16 @@ from lodetext.llm import shared
 
 #: Remainders are cut to capacity // k for k up to this.
 MOST = 64
-#: Entries of the cache of a Python worker, by what stands between white space; twice as many by word.
-CACHE = 300_000
+#: Bytes of a Python worker's cache of words and their ids.
+CACHE_BYTES = 24 << 20
+#: Pieces of an output batch.
+BATCH = 5_000
 #: Workers whose leftover pieces are put together first.
 GROUP = 32
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, worker long, sequence_id long, offset long"
 _COLUMNS = [x.split()[0] for x in _PIECE.split(", ")]
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -42,74 +45,134 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_BLANK, _PUNCTUATION, _ALNUM = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[list(shared.BLANKS.encode())] = True
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+_PUNCTUATION[[c for c in range(33, 127) if not _ALNUM[c]]] = True
+#: What splits a text for tokenizers whose words can be encoded one by one.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to their ids as little-endian unsigned 32-bit integers; words between white space are looked up once.
+def _by_words(spec: dict) -> bool:
+    """Whether the tokenizer lowers, drops white space, splits at it and between letters and other characters, and marks the ends of words."""
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    model = spec.get("model") or {}
+    return steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _SPLIT} and bool(split.get("invert")) and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
 
-    For tokenizers that split at white space and between letters and punctuation, drop white space and mark the ends of words. New words of
-    letters are encoded together and told apart by those marks; all others one by one. A text in which Python and the tokenizer differ about
-    white space, or that may hold a special token, goes through the tokenizer whole.
+
+def _cut_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end: what stands between blanks, with punctuation behind a letter or digit apart."""
+    a = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff((~_BLANK[a]).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    starts, ends = edge[0::2], edge[1::2]
+    last = np.where(_PUNCTUATION[a], -1, np.arange(len(a)))
+    np.maximum.accumulate(last, out=last)
+    core = last[ends - 1] + 1 if len(ends) else ends
+    apart = (core > starts) & (core < ends)
+    apart[apart] = _ALNUM[a[core[apart] - 1]]
+    twice = np.ones(len(starts), np.int64) + apart
+    at = np.cumsum(twice) - twice
+    s, e = np.repeat(starts, twice), np.repeat(ends, twice)
+    e[at[apart]] = s[at[apart] + 1] = core[apart]
+    return s, e
+
+
+class Encoder:
+    """Texts to their ids. Words (_cut_words) are looked up by a 64-bit hash of their lowered bytes in a cache of bounded size, those used longest ago leave it; new words are encoded together.
+
+    Texts that may hold a special token, and all texts of tokenizers of another kind, go through the tokenizer whole.
     """
-    if path in _encoders:
-        return _encoders[path]
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    special = ["\x1c", "\x1d", "\x1e", "\x1f", *(t.content for t in whole.get_added_tokens_decoder().values())]
-    last = np.zeros(whole.get_vocab_size(), bool)
-    last[[i for t, i in whole.get_vocab().items() if t.endswith("</w>")]] = True
-    chunks: dict[str, bytes] = {}  # by what stands between white space
-    cores: dict[str, bytes] = {}  # by word without the punctuation behind it
-
-    def ids(text: str) -> np.ndarray:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def add_cores(new: list[str]) -> None:
-        words = [w for w in new if w.isalpha()]
-        got = ids(" ".join(words))
-        ends = np.flatnonzero(last[got]) + 1
-        if len(ends) == len(words):
-            raw, begin = got.tobytes(), 0
-            for w, e in zip(words, ends.tolist(), strict=True):
-                cores[w] = raw[4 * begin : 4 * e]
-                begin = e
-        for w in new:
-            if w not in cores:
-                cores[w] = ids(w).tobytes()
-
-    def add_chunks(new: set[str]) -> None:
-        if len(chunks) > CACHE:
-            chunks.clear()
-        if len(cores) > 2 * CACHE:
-            cores.clear()
-        parts = []
-        for w in new:
-            core = w.rstrip(_PUNCTUATION)
-            if core and core[-1].lower().isalnum():
-                parts.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
-            else:
-                parts.append((w, w, ""))
-        add_cores(sorted({x for _, core, tail in parts for x in (core, tail)} - cores.keys()))
-        for w, core, tail in parts:
-            chunks[w] = cores[core] + cores[tail]
-
-    def run(texts: list[str]) -> list[bytes]:
-        words = [None if any(x in t for x in special) else t.split() for t in texts]
-        found = [None if w is None else list(map(chunks.get, w)) for w in words]
-        if new := {x for w, f in zip(words, found, strict=True) if f and None in f for x, y in zip(w, f, strict=True) if y is None}:
-            add_chunks(new)
-            found = [f if f is None or None not in f else [chunks[x] if y is None else y for x, y in zip(w, f, strict=True)] for w, f in zip(words, found, strict=True)]
-        return [ids(t).tobytes() if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
-
-    def clear() -> None:
-        chunks.clear()
-        cores.clear()
-
-    shared.caches["packing"] = clear
-    _encoders[path] = run
-    return run
+
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        from tokenizers import Tokenizer
+
+        self.whole, self.most = Tokenizer.from_file(path), cache_bytes
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.by_words = _by_words(json.load(f))
+        self.last = np.zeros(self.whole.get_vocab_size(), bool)
+        self.last[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
+        nul = self._ids("\0")
+        self.nul = ("\0", nul[0]) if len(nul) == 1 else ("\0", -1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.begin, self.size, self.used, self.ids, self.turn = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"), 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode(self, words: list[str], mark: tuple[str, int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has; words of letters alone end with a marked id, others are set apart by a mark."""
+        joined = self._ids(" ".join(words) if mark is None else f" {mark[0]} ".join([*words, ""]))
+        at = np.flatnonzero(self.last[joined] if mark is None else joined == mark[1])
+        if len(at) == len(words):
+            size = np.diff(at, prepend=-1)
+            return (joined, size) if mark is None else (joined[joined != mark[1]], size - 1)
+        found = [self._ids(w) for w in words]
+        return np.concatenate([np.empty(0, "<u4"), *found]), np.fromiter(map(len, found), np.int64, len(words))
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        for kind in (True, False):
+            mine = np.flatnonzero(plain == kind)
+            if not len(mine):
+                continue
+            ids, size = self._encode([words[k] for k in mine.tolist()], None if kind else self.nul)
+            begin = len(self.ids) + np.cumsum(size) - size
+            order = np.argsort(joined := np.concatenate((self.hashes, hashes[mine])), kind="stable")
+            self.hashes = joined[order]
+            self.begin, self.size = np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
+            self.used = np.concatenate((self.used, np.full(len(mine), self.turn)))[order]
+            self.ids = np.concatenate((self.ids, ids))
+
+    def _forget(self) -> None:
+        """Half of the cache goes if it is too large."""
+        if 32 * len(self.hashes) + 4 * len(self.ids) <= self.most:
+            return
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: len(self.hashes) // 2])
+        self.ids = self.ids[_ranges(self.begin[keep], self.size[keep])]
+        self.hashes, self.size, self.used = self.hashes[keep], self.size[keep], self.used[keep]
+        self.begin = np.cumsum(self.size) - self.size
+
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = b"\n".join(texts) + b"\n"
+        starts, ends = _cut_words(data)
+        u, first, inverse = np.unique(shared.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        self.turn += 1
+        at = np.minimum(np.searchsorted(self.hashes, u), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[at] != u) if len(self.hashes) else np.arange(len(u))
+        if len(new):
+            self._learn(u[new], [data[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, u)
+        self.used[at] = self.turn
+        at = at[inverse]
+        size = self.size[at]
+        ids = self.ids[_ranges(self.begin[at], size)]
+        self._forget()
+        total = np.concatenate(([0], np.cumsum(size)))
+        where = np.cumsum([0] + [len(t) + 1 for t in texts])
+        return ids, total[np.searchsorted(starts, where)]
+
+    def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        odd = [not self.by_words or any(x in t for x in self.special) for t in texts]
+        ids, at = self._words([b"" if o else t for t, o in zip(texts, odd, strict=True)])
+        for k, t in enumerate(texts):
+            yield self._ids(t.decode()) if odd[k] else ids[at[k] : at[k + 1]]
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ..., size[0] of them, then the same for the next."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = made = Encoder(path)
+        shared.caches["packing"] = made.clear
+    return _encoders[path]
 
 
 def cut(length: int, capacity: int, slack: float) -> list[tuple[int, int]]:
@@ -170,17 +233,18 @@ def _encode_and_fill(path: str, end_id: int, capacity: int, slack: float):
     def run(batches):
         encode, me = encoder(path), _worker()
         bins, rows = _Bins(0, me), []
-        for b in batches:
-            for docs, texts in shared.byte_batches([b], ["doc_id", "text"], keep="packing"):
-                for doc, got in zip(docs, encode([t.decode() if t else "" for t in texts]), strict=True):
-                    ids = memoryview(got + end)
-                    total, at = len(ids) // 4, 0
-                    for k, n in cut(total, capacity, slack):
-                        rows += bins.add([doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total, k, me, None, None])
-                        at += n
-                if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for docs, texts in shared.byte_batches([b], ["doc_id", "text"], keep="packing"):
+                    for doc, got in zip(docs, encode([t or b"" for t in texts]), strict=True):
+                        ids = memoryview(got.tobytes() + end)
+                        total, at = len(ids) // 4, 0
+                        for k, n in cut(total, capacity, slack):
+                            rows += bins.add([doc, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total, k, me, None, None])
+                            at += n
+                        if len(rows) > BATCH:
+                            yield _batch(rows)
+                            rows = []
         yield _batch(rows + bins.rest())
 
     return run
@@ -192,9 +256,9 @@ def _fill(level: int):
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows += bins.add(list(r))
-            if len(rows) > 20_000:
-                yield _batch(rows)
-                rows = []
+                if len(rows) > BATCH:
+                    yield _batch(rows)
+                    rows = []
         yield _batch(rows + bins.rest())
 
     return run

@@ -108,6 +108,7 @@ def _tables(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lower, word
 
 
+_LOWER = _tables(b"")[0]
 _SPLITS = {
     "blank": _tables(BLANKS.encode()),
     "plain": _tables(bytes(c for c in range(128) if not chr(c).isalnum())),
@@ -120,20 +121,23 @@ def word_hashes(texts: list[bytes | None], split: str) -> tuple[np.ndarray, np.n
     A-Z count as a-z. split: "blank" for words between ASCII white space, "plain" for runs of ASCII letters, digits and any
     other characters. Hashes are equal for equal words and, but for about 2**-64 a pair, differ for others.
     """
-    lower, is_word = _SPLITS[split]
+    is_word = _SPLITS[split][1]
     data = b"\n".join(t or b"" for t in texts) + b"\n"
+    edge = np.flatnonzero(np.diff(is_word[np.frombuffer(data, np.uint8)].view(np.int8), prepend=np.int8(0)))
+    starts, ends = edge[0::2], edge[1::2]
+    at = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
+    return span_hashes(data, starts, ends), np.searchsorted(starts, at)
+
+
+def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of data with A-Z as a-z: equal for equal bytes wherever they stand."""
     a = np.frombuffer(data, np.uint8)
     up, down = _power_tables(len(a))
-    w = is_word[a]
-    edge = np.flatnonzero(np.diff(w.view(np.int8), prepend=np.int8(0)))
-    starts, ends = edge[0::2], edge[1::2]
-    total = lower[a]
+    total = _LOWER[a]
     total *= up[: len(a)]
     np.cumsum(total, out=total)
-    h = total[ends - 1] - np.where(starts > 0, total[starts - 1], np.uint64(0))
-    h = mix(h * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    at = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
-    return h, np.searchsorted(starts, at)
+    h = total[ends - 1] - np.where(starts > 0, total[starts - 1], np.uint64(0)) if len(starts) else np.empty(0, np.uint64)
+    return mix(h * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
 #: What operators keep in a Python worker from task to task, by operator: how to let go of it.
