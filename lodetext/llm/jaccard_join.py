@@ -7,9 +7,9 @@ one group within their prefixes: rare shingles are indexed singly, frequent ones
 number by size zones that overlap by the size ratio 1/t). What shares an index entry is verified on the full sets.
 
 Copies: documents with one set are one class (a 64-bit fingerprint of the set), and only classes are joined. Pairs: each entry links its
-members to its smallest one (entries of very frequent shingles by way of salted smaller ones); after verification, pairs of
-one entry that still lie in different components are verified as well, unless parity bits of their sets tell them apart within the join. So every link between different sets is
-either found or lies within one component, and large groups of near copies cost pairs in proportion to their size.
+members to its first one, in one of ORDERS orders by hash (entries of very frequent shingles by way of salted smaller ones). Then pairs of one entry that still lie in different
+components are taken as well. Parity bits, which each class keeps (two bits a shingle), bound the difference of two sets from below, so most pairs that aren't similar go before whole sets
+are compared. So every link between different sets is either found or lies within one component, and large groups of near copies cost pairs in proportion to their size.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; a text with fewer words than a shingle has
 its whole sequence as one; a null doc_id is linked with nothing and has a null component; rows with one doc_id are one node; other columns are
@@ -38,10 +38,14 @@ SALT_FROM = 14
 ZONES = ((4, 80, 0), (64, 640, 8), (512, 5120, 32), (4096, 1 << 62, 256))
 #: log2 of the excess count from which a shingle is frequent.
 FREQUENT = 10
-#: Bits of the filter of candidate documents.
-FILTER_BITS = 24
-#: Cells of a set's parity bits, and 64-bit words of the short form that members of index entries carry.
-PARITY, SHORT = 2048, 8
+#: Orders by which entries choose their first member.
+ORDERS = 4
+#: The filter of candidate documents has this many bits for each, within these bounds (as powers of two).
+FILTER_SHARE, FILTER_BITS = 16, (16, 30)
+#: 64-bit words of the short parity bits that every class has.
+SHORT = 8
+#: Open entries with more members than this are dealt to several tasks.
+OPEN_MEMBERS = 2048
 #: Bytes of text whose words are hashed at once.
 BATCH = 1 << 20
 
@@ -85,34 +89,67 @@ def _cells(s: np.ndarray) -> np.ndarray:
 
 # Pass A: classes and the sketch --------------------------------------------
 
-_KINDS = "kind int, doc_id long, fp long, n int, chunk int, counts binary"
+_WORDS = [f"p{k}" for k in range(SHORT)]
+_KINDS = f"kind int, doc_id long, fp long, n int, {', '.join(f'{w} long' for w in _WORDS)}, parity binary, chunk int, counts binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), *((w, pa.int64()) for w in _WORDS), ("parity", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
 
 def _classes_and_counts(width: int):
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
-
     def run(batches):
         with np.errstate(over="ignore"):
             counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-            seen: set[int] = set()
+            seen = _Seen()
             for ids, texts in shared.byte_batches(batches, ["doc_id", "text"], BATCH):
                 sets = shingle_sets(texts, width)
                 fps = [_fingerprint(s) for s in sets]
-                fresh = [s for s, f in zip(sets, fps, strict=True) if not (f in seen or seen.add(f))]
-                if len(seen) > 1_000_000:
-                    seen.clear()
+                fresh = [s for s, f in zip(sets, fps, strict=True) if seen.add(f)]
                 if fresh:
                     cell, often = np.unique(_cells(np.concatenate(fresh)), return_counts=True)
                     counts[cell] += often.astype(np.uint32)
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                bits = [parity_bits(s) for s in sets]
+                short = np.array([fold(x, SHORT) for x in bits], np.uint64).reshape(-1, SHORT).view(np.int64)
+                parity = [x.tobytes() if len(x) > SHORT else None for x in bits]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(short[:, k].copy()) for k in range(SHORT)), pa.array(parity, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_SCHEMA)
             if counts.any():
                 n = CHUNKS
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array([_squeeze(c) for c in np.split(counts, n)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.int64()) for _ in _WORDS), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array([_squeeze(c) for c in np.split(counts, n)], pa.binary())], schema=_SCHEMA)
 
     return run
 
 
+class _Seen:
+    """Fingerprints that a task has met lately; forgetting one costs only a repeated row."""
+
+    def __init__(self, bits: int = 18):
+        self.slots, self.mask = np.zeros(1 << bits, np.int64), (1 << bits) - 1
+
+    def add(self, fp: int) -> bool:
+        """Whether it is new."""
+        at = fp & self.mask
+        if self.slots[at] == fp:
+            return False
+        self.slots[at] = fp
+        return True
+
+
+def parity_bits(s: np.ndarray, words: int | None = None) -> np.ndarray:
+    """For each cell, as bits of 64-bit integers, whether an odd number of shingles falls into it: 64 * SHORT cells or, for large sets, the power of two from twice their size.
+
+    Two sets' bits differ in no more cells than they have shingles apart, also after both are folded.
+    """
+    words = words or max(SHORT, 1 << (max(1, 2 * len(s) - 1).bit_length() - 6 if len(s) > 32 else 0))
+    cell = (shared.mix(s + np.uint64(11)) >> np.uint64(20)).astype(np.int64) % (64 * words)
+    return np.packbits((np.bincount(cell, minlength=64 * words) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The parity bits of the same set for fewer cells."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _squeeze(counts: np.ndarray) -> bytes:
     """Counts in the least of 1, 2 or 4 bytes that hold them, compressed."""
     most = int(counts.max())
@@ -195,35 +232,39 @@ def signatures(s: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarr
 def _index(width: int, percent: int, levels):
     def run(batches):
         table = np.frombuffer(levels.value, np.uint8)
-        seen: set[int] = set()
+        seen = _Seen()
         with np.errstate(over="ignore"):
-            for ids, texts in shared.byte_batches(batches, ["doc_id", "text"], BATCH):
+            for _, texts in shared.byte_batches(batches, ["doc_id", "text"], BATCH):
                 sig, fps, ns, salts = [], [], [], []
                 for s in shingle_sets(texts, width):
                     fp = _fingerprint(s)
-                    if len(s) < 4 or fp in seen:  # smaller sets are similar to equal ones only
+                    if len(s) < 4 or not seen.add(fp):  # smaller sets are similar to equal ones only
                         continue
-                    seen.add(fp)
                     t, lv = signatures(s, table[_cells(s)], percent)
                     sig.append(t)
                     fps.append(fp)
                     ns.append(len(s))
                     salts.append(np.where(lv >= SALT_FROM, 1 + (fp & 0x7FFFFFFF) % (1 << np.maximum(lv.astype(np.int64) - SALT_FROM + 1, 0)), 0))
-                if len(seen) > 1_000_000:
-                    seen.clear()
                 if sig:
                     times = [len(t) for t in sig]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.repeat(np.array(fps, np.int64), times)), pa.array(np.repeat(np.array(ns, np.int32), times))], names=["sig", "salt", "fp", "n"])
+                    sigs = np.concatenate(sig)
+                    place = shared.mix(np.repeat(np.array(fps, np.int64), times).view(np.uint64) ^ _order_key(sigs))
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(place.view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), times))], names=["sig", "salt", "place", "n"])
 
     return run
 
 
+def _order_key(sigs: np.ndarray) -> np.ndarray:
+    """What fingerprints are mixed with, so that the entry's members are sorted in its own order."""
+    return sigs % np.uint64(ORDERS) * _MULTIPLIERS[3]
+
+
 _MEMBERS = "sig long, salt int, fp long, n int, cfp long, cn int"
 
 
 def _stars(batches):
-    """Entries with two classes or more: each member beside the smallest; one row of a salted part goes on as well."""
-    cols = ("sig", "salt", "fp", "n")
+    """Entries with two classes or more: each member beside the first; one row of a salted part goes on as well."""
+    cols = ("sig", "salt", "place", "n")
     held = None
 
     def emit(c, over):
@@ -242,6 +283,7 @@ def _stars(batches):
             held = [x[[tail, -1]] if many else x[[tail]] for x in c]
         keep = distinct & ((sizes[run] > 1) | (salt > 0))
         first = begin[run]
+        fp = (shared.unmix(fp.view(np.uint64)) ^ _order_key(sig.view(np.uint64))).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, salt, fp, n, fp[first], n[first])], names=["sig", "salt", "fp", "n", "cfp", "cn"])
 
     for b in batches:
@@ -249,84 +291,70 @@ def _stars(batches):
             c = [b.column(x).to_numpy(zero_copy_only=False) for x in cols]
             if held is not None:
                 c = [np.concatenate(x) for x in zip(held, c, strict=True)]
-            yield emit(c, False)
+            with np.errstate(over="ignore"):
+                yield emit(c, False)
 
 
 # Verification ---------------------------------------------------------------
 
+#: Shingle hashes are compared by so many of their upper bytes.
+_KEPT = 6
 
-def _filter_bits(batches):
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for b in batches:
-        bits[_filter_cell(b.column("doc_id").to_numpy(zero_copy_only=False))] = True
-    if bits.any():
-        n = CHUNKS
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([np.packbits(c).tobytes() for c in np.split(bits, n)], pa.binary())], names=["chunk", "counts"])
-
-
-def _or_bits(batches):
-    at, total = None, None
-    for b in batches:
-        for chunk, bits in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            if chunk != at and total is not None:
-                yield _chunk(at, total)
-            if chunk != at:
-                at, total = chunk, np.zeros(len(bits), np.uint8)
-            total |= np.frombuffer(bits, np.uint8)
-    if total is not None:
-        yield _chunk(at, total)
-
-
-def _filter_cell(ids: np.ndarray) -> np.ndarray:
-    return (shared.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def parity_bits(s: np.ndarray, cells: int = PARITY) -> np.ndarray:
-    """For each cell, as bits of 64-bit integers, whether an odd number of shingles falls into it. Two sets' bits differ in no more cells than they have shingles apart."""
-    cell = (shared.mix(s + np.uint64(11)) >> np.uint64(32)).astype(np.int64) % cells
-    return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
 
+def _set_bits(bits: int):
+    """The bits of each chunk of the filter; rows of a chunk follow one another."""
+    size = (1 << bits) // CHUNKS
 
-def _whole(sets: list[np.ndarray]) -> list:
-    return [pa.array([s.tobytes() for s in sets], pa.binary())]
-
-
-def _parity(sets: list[np.ndarray]) -> list:
-    return [pa.array([parity_bits(s).tobytes() for s in sets], pa.binary())]
-
+    def run(batches):
+        at, total = None, None
+        for b in batches:
+            cells = b.column("cell").to_numpy(zero_copy_only=False)
+            for chunk in dict.fromkeys((cells // size).tolist()):
+                if chunk != at and total is not None:
+                    yield _chunk(at, np.packbits(total))
+                if chunk != at:
+                    at, total = chunk, np.zeros(size, bool)
+                total[cells[cells // size == chunk] % size] = True
+        if total is not None:
+            yield _chunk(at, np.packbits(total))
 
-def _short_parity(sets: list[np.ndarray]) -> list:
-    bits = np.array([parity_bits(s, 64 * SHORT) for s in sets], np.int64).reshape(-1, SHORT)
-    return [pa.array(bits[:, k].copy()) for k in range(SHORT)]
+    return run
 
 
-def _wanted(width: int, bits, encode, names: list[str]):
-    """fp, n and encode(sets) of the documents that the filter lets through."""
+def _wanted(width: int, bits):
+    """fp, n and whole sets of the documents that the filter lets through."""
 
     def run(batches):
         wanted = np.frombuffer(bits.value, np.uint8)
         with np.errstate(over="ignore"):
             for b in batches:
-                cell = _filter_cell(b.column("doc_id").to_numpy(zero_copy_only=False))
+                cell = b.column("cell").to_numpy(zero_copy_only=False)
                 hit = (wanted[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
                 b = b.filter(pa.array(hit.astype(bool)))
                 for (texts,) in shared.byte_batches([b], ["text"], BATCH):
                     sets = shingle_sets(texts, width)
-                    yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *encode(sets)], names=["fp", "n", *names])
+                    whole = [shared.pack_sorted(s >> np.uint64(64 - 8 * _KEPT), _KEPT) for s in sets]
+                    yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary())], names=["fp", "n", "payload"])
 
     return run
 
 
 @F.pandas_udf(T.LongType())
 def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
-    cells = lambda x: np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1)
-    return pd.Series(np.bitwise_count(cells(a) ^ cells(b)).sum(1).astype(np.int64))
+    def count(x: bytes | None, y: bytes | None) -> int:
+        if x is None or y is None:
+            return 0
+        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        least = min(len(p), len(q))
+        return int(np.bitwise_count(fold(p, least) ^ fold(q, least)).sum())
+
+    return pd.Series([count(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 @F.pandas_udf(T.LongType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     def count(x: bytes, y: bytes) -> int:
-        both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
+        both = np.concatenate((shared.unpack_sorted(x, _KEPT), shared.unpack_sorted(y, _KEPT)))
         both.sort(kind="stable")
         return int(np.count_nonzero(both[1:] == both[:-1]))
 
@@ -342,39 +370,40 @@ def _collect_chunks(df: DataFrame, dtype, size: int) -> np.ndarray:
     return out
 
 
+def _words_apart(p: str, q: str) -> F.Column:
+    """In how many cells the short parity bits with these prefixes differ."""
+    return functools.reduce(lambda u, v: u + v, [F.bit_count(F.col(f"{p}{k}").bitwiseXOR(F.col(f"{q}{k}"))) for k in range(SHORT)])
+
+
 class _Verifier:
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
-
-    def sets_of(self, classes: DataFrame, encode, columns: str) -> DataFrame:
-        """fp, n and what encode() gives for the sets of the classes (fp). A class may be repeated if several documents have its set."""
-        spark = classes.sparkSession
-        holders = self.classes.join(classes.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-        chunk = "chunk int, counts binary"
-        chunks = holders.select("doc_id").coalesce(16).mapInArrow(_filter_bits, chunk).repartition(shared.partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_or_bits, chunk)
-        bits = spark.sparkContext.broadcast(_collect_chunks(chunks, np.uint8, 1 << (FILTER_BITS - 3)).tobytes())
-        names = [c.split()[0] for c in columns.split(", ")]
-        return self.docs.mapInArrow(_wanted(self.width, bits, encode, names), f"fp long, n long, {columns}")
-
-    def _with_payloads(self, pairs: DataFrame, encode, name: str) -> DataFrame:
-        """pairs (a, b) with both sets' sizes and payloads. A pair may be repeated."""
-        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
-        sets = shared.save(self.sets_of(ends, encode, "payload binary"), name)
-        left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("payload").alias("pa"))
-        right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("payload").alias("pb"))
-        return pairs.select("a", "b").join(left, "a").join(right, "b")
+    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, percent: int):
+        self.docs, self.reps, self.width, self.percent = docs, reps, width, percent
+
+    def may_be_similar(self, apart: F.Column, total: F.Column) -> F.Column:
+        return apart * (100 + self.percent) <= total * (100 - self.percent)
 
     def close(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that their parity bits leave."""
-        total, p = F.col("na") + F.col("nb"), self.percent
-        bits = self._with_payloads(pairs, _parity, f"{name}-bits").select("a", "b", total.alias("total"), _apart("pa", "pb").alias("apart"))
-        return shared.save(bits.where(F.col("apart") * (100 + p) <= F.col("total") * (100 - p)).select("a", "b").distinct(), f"{name}-close")
+        """The pairs (a, b) that their parity bits leave, with documents that have these sets."""
+        side = lambda end, p, wide: self.reps.select(F.col("fp").alias(end), F.col("doc").alias(f"d{end}"), F.col("n").alias(f"n{end}"), *[F.col(w).alias(f"{p}{k}") for k, w in enumerate(_WORDS)], F.col("parity").alias(wide))
+        total = F.col("na") + F.col("nb")
+        both = pairs.join(side("a", "p", "pa"), "a").join(side("b", "q", "pb"), "b").where(self.may_be_similar(_words_apart("p", "q"), total))
+        return shared.save(both.where(self.may_be_similar(_apart("pa", "pb"), total)).select("a", "b", "da", "db"), f"{name}-close")
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose sets are similar, compared whole."""
+        """The pairs (a, b) of close() whose sets are similar, compared whole."""
+        spark = pairs.sparkSession
+        bits = min(max((FILTER_SHARE * 2 * pairs.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+        cell = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits).alias("cell")
+        cells = pairs.select(cell("da")).unionByName(pairs.select(cell("db"))).distinct().repartition(shared.partitions(spark), F.shiftright("cell", bits - 6)).sortWithinPartitions("cell")
+        filtered = spark.sparkContext.broadcast(_collect_chunks(cells.mapInArrow(_set_bits(bits), "chunk int, counts binary"), np.uint8, 1 << (bits - 3)).tobytes())
+        sets = shared.save(self.docs.select(cell("doc_id"), "text").mapInArrow(_wanted(self.width, filtered), "fp long, n long, payload binary"), f"{name}-sets")
+        side = lambda end: sets.select(F.col("fp").alias(end), F.col("n").alias(f"n{end}"), F.col("payload").alias(f"p{end}"))
         total = F.col("na") + F.col("nb")
-        whole = self._with_payloads(pairs, _whole, f"{name}-sets").select("a", "b", total.alias("total"), _common("pa", "pb").alias("common"))
-        return shared.save(whole.where(F.lit(100) * F.col("common") >= F.lit(self.percent) * (F.col("total") - F.col("common"))).select("a", "b").distinct(), f"{name}-links")
+        whole = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", total.alias("total"), _common("pa", "pb").alias("common"))
+        out = shared.save(whole.where(F.lit(100) * F.col("common") >= F.lit(self.percent) * (F.col("total") - F.col("common"))).select("a", "b").distinct(), f"{name}-links")
+        shared.discard(sets)
+        filtered.unpersist()
+        return out
 
 
 # Components -----------------------------------------------------------------
@@ -383,26 +412,43 @@ class _Verifier:
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of the nodes that links (a, b) hold, by alternating large and small stars."""
     edges = shared.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    last = None
     while True:
         # large star: every neighbour larger than a node gets the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: smaller neighbours and the node itself get the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = shared.save(small, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last:
+        last, edges = edges, shared.save(small, "edges")
+        shared.discard(last)
+        # done once every node has one smaller neighbour or is the smaller one of its neighbours
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("over"), F.lit(0).alias("under")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("over"), F.lit(1).alias("under")))
+        if ends.groupBy("node").agg(F.sum("over").alias("over"), F.max("under").alias("under")).where("over + under > 1").isEmpty():
             break
-        last = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 # The join -------------------------------------------------------------------
 
 
+def _open_pairs(members: DataFrame, labels: DataFrame, pairs: DataFrame, verify: _Verifier, fits: F.Column) -> DataFrame:
+    """Pairs of one entry that lie in different components, weren't compared yet and may be similar by their short parity bits."""
+    label = members.select("sig", "fp", "n").join(labels, F.col("fp") == F.col("node"), "left").select("sig", "fp", "n", F.coalesce("component", "fp").alias("label"))
+    # an entry of two members has been compared whole
+    mixed = label.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
+    mixed = mixed.select("sig", F.ceil(F.col("size") / OPEN_MEMBERS).cast("int").alias("deals"))
+    found = label.join(mixed, "sig").join(verify.reps.select("fp", *_WORDS), "fp")
+    found = shared.save(found, "open")
+    x = found.select("sig", F.pmod(F.hash("fp"), F.col("deals")).alias("deal"), F.col("fp").alias("a"), "n", F.col("label").alias("la"), *_WORDS)
+    y = found.select("sig", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("fp").alias("b"), F.col("n").alias("cn"), F.col("label").alias("lb"), *[F.col(w).alias(f"q{k}") for k, w in enumerate(_WORDS)])
+    near = verify.may_be_similar(_words_apart("p", "q"), F.col("n") + F.col("cn"))
+    meet = x.join(y, ["sig", "deal"]).where("a < b and la <> lb").where(fits).where(near)
+    out = shared.save(meet.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-open")
+    shared.discard(found)
+    return out
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id."""
     if percent < 80:
@@ -411,13 +457,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = shared.save(rows.mapInArrow(_classes_and_counts(width), _KINDS), "classes")
     classes = first.where("kind = 0").select("doc_id", "fp", "n")
-    known = classes.where("doc_id is not null and n > 0")
     counts = first.where("kind = 1").select("chunk", "counts").repartition(shared.partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_add_counts, "chunk int, counts binary")
     levels = spark.sparkContext.broadcast(frequency_levels(_collect_chunks(counts, np.uint64, 1 << SKETCH_BITS)).tobytes())
+    known = first.where("kind = 0 and doc_id is not null and n > 0")
+    reps = shared.save(known.groupBy("fp").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", *_WORDS, "parity")]), "sets")
 
     present = rows.where("doc_id is not null and text is not null")
-    entries = present.mapInArrow(_index(width, percent, levels), "sig long, salt int, fp long, n int")
-    order = ["sig", "salt", "fp"]
+    entries = present.mapInArrow(_index(width, percent, levels), "sig long, salt int, place long, n int")
+    order = ["sig", "salt", "place"]
     members = shared.save(entries.repartition(shared.partitions(spark), "sig", "salt").sortWithinPartitions(*order).mapInArrow(_stars, _MEMBERS), "members")
 
     fits = F.lit(100) * F.least("n", "cn") >= F.lit(percent) * F.greatest("n", "cn")
@@ -427,39 +474,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     far = salted.join(heads, "sig").where(F.col("fp") != F.col("cfp")).where(fits).select(F.least("fp", "cfp").alias("a"), F.greatest("fp", "cfp").alias("b"))
     pairs = shared.save(near.unionByName(far).distinct(), "pairs")
 
-    verify = _Verifier(present, known, width, percent)
+    verify = _Verifier(present, reps, width, percent)
     # rows with one doc_id and different sets tie their classes together as links do
     twice = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
-    same_id = known.join(twice, "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))
+    same_id = known.select("doc_id", "fp").join(twice, "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))
     links = shared.save(verify.links(verify.close(pairs, "first"), "first").unionByName(same_id), "links")
     labels = components(links)
-
-    # pairs of one entry that lie in different components still; an entry all of whose members link with its smallest has none
-    a, b = F.least("fp", "cfp").alias("a"), F.greatest("fp", "cfp").alias("b")
-    unlinked = members.where(F.col("fp") != F.col("cfp")).select("sig", a, b).join(links.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    open_entries = unlinked.select("sig").unionByName(members.where("salt > 0").select("sig")).distinct()
-    label = members.select("sig", "fp", "n").join(open_entries, "sig", "left_semi").join(labels, F.col("fp") == F.col("node"), "left")
-    label = shared.save(label.select("sig", "fp", "n", F.coalesce("component", "fp").alias("label")), "labels")
-    mixed = label.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    open_members = shared.save(label.join(mixed, "sig", "left_semi"), "open")
-    if not open_members.isEmpty():
-        # pairs that parity bits tell apart aren't made at all
-        words = [f"p{k}" for k in range(SHORT)]
-        parities = verify.sets_of(open_members.select("fp"), _short_parity, ", ".join(f"{w} long" for w in words)).drop("n").dropDuplicates(["fp"])
-        with_bits = shared.save(open_members.join(parities, "fp"), "open-bits")
-        x = with_bits.select("sig", F.col("fp").alias("a"), F.col("n"), F.col("label").alias("la"), *words)
-        y = with_bits.select("sig", F.col("fp").alias("b"), F.col("n").alias("cn"), F.col("label").alias("lb"), *[F.col(w).alias(f"q{w}") for w in words])
-        apart = functools.reduce(lambda u, v: u + v, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"q{w}"))) for w in words])
-        meet = x.join(y, "sig").where("a < b and la <> lb").where(fits).where(apart * (100 + percent) <= (F.col("n") + F.col("cn")) * (100 - percent))
-        more = shared.save(meet.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-mixed")
-        if not more.isEmpty():
-            links = links.unionByName(verify.links(verify.close(more, "second"), "second"))
-            labels = components(links)
-
-    of = known.join(labels, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("label"))
-    least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_class = of.select("fp", "label").distinct().join(least, "label").select("fp", "component_id")
-    found = classes.join(by_class.withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    more = _open_pairs(members, labels, pairs, verify, fits)
+    if not more.isEmpty():
+        links = links.unionByName(verify.links(verify.close(more, "second"), "second"))
+        labels = components(links)
+
+    # of each component the least doc_id, then of each class
+    least = labels.join(reps.select(F.col("fp").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
+    linked = labels.join(least, "component").select(F.col("node").alias("fp"), "least")
+    by_class = reps.select("fp", "doc").join(linked, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "doc").alias("component_id"))
+    found = classes.join(by_class, (F.col("fp") == F.col("_fp")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

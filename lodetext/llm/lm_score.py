@@ -102,26 +102,6 @@ def _turn(keys: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _pack(x: np.ndarray, width: int) -> bytes:
-    """The lowest bytes of integers or floats, by place: so bytes that hardly differ stand together and compress well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width].T.tobytes()
-
-
-def _unpack(data: bytes, width: int, kind=np.uint64) -> np.ndarray:
-    out = np.zeros((len(data) // width, np.dtype(kind).itemsize), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.view(kind).ravel()
-
-
-def _pack_keys(k: np.ndarray, width: int) -> bytes:
-    """Sorted keys, as their differences."""
-    return _pack(np.diff(k, prepend=np.uint64(0)), width)
-
-
-def _unpack_keys(data: bytes, width: int) -> np.ndarray:
-    return np.cumsum(_unpack(data, width), dtype=np.uint64)
-
-
 # Blocks ---------------------------------------------------------------------
 
 
@@ -192,7 +172,7 @@ class _Block:
             k, c, part = k[order], c[order], part[order]
             begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             cut = [*begin.tolist(), len(k)]
-            data = [[_pack_keys(k[i:j], _width(kind, self.depth)) for i, j in zip(cut, cut[1:])], [_pack(c[i:j], 8) for i, j in zip(cut, cut[1:])]]
+            data = [[shared.pack_sorted(k[i:j], _width(kind, self.depth)) for i, j in zip(cut, cut[1:])], [shared.pack(c[i:j], 8) for i, j in zip(cut, cut[1:])]]
             n = len(begin)
             yield pa.RecordBatch.from_arrays([_kinds(kind, n), pa.array(np.full(n, self.number, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string()), pa.array(part[begin]), *(pa.array(x, pa.binary()) for x in data)], names=_names(_SAVED))
 
@@ -369,11 +349,11 @@ def _part_totals(depth: int, split: int):
             for b in batches:
                 for kind, part, k, n in zip(*(b.column(c).to_pylist() for c in ("kind", "part", "keys", "n")), strict=True):
                     keys, counts = parts.get((kind, part), ([], []))
-                    parts[kind, part] = _merge_some([*keys, _unpack_keys(k, _width(kind, depth))], [*counts, _unpack(n, 8, np.int64)])
+                    parts[kind, part] = _merge_some([*keys, shared.unpack_sorted(k, _width(kind, depth))], [*counts, shared.unpack(n, 8, np.int64)])
             for kind, part in list(parts):
                 k, c = _merge(*parts.pop((kind, part)))
                 found = [x.tobytes() for x in _branches(k, c, depth, split)] if kind == _STRINGS else [None] * 4
-                data = [_pack_keys(k, _width(kind, depth)), _pack(c, 8)]
+                data = [shared.pack_sorted(k, _width(kind, depth)), shared.pack(c, 8)]
                 sums = [int(c.sum()), int(np.count_nonzero(c))]
                 yield pa.RecordBatch.from_arrays([_kinds(kind, 1), pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in data), *(pa.array([x], pa.int64()) for x in sums), *(pa.array([x], pa.binary()) for x in found)], names=_names(_TOTALS))
 
@@ -388,12 +368,12 @@ def _replies(depth: int, split: int, top):
         with np.errstate(over="ignore"):
             for b in batches:
                 for kind, block, k, n in zip(*(b.column(c).to_pylist() for c in ("kind", "block", "keys", "n")), strict=True):
-                    data, k = k, _unpack_keys(k, _width(kind, depth))
+                    data, k = k, shared.unpack_sorted(k, _width(kind, depth))
                     if block == -1:
-                        c = _unpack(n, 8, np.int64)
+                        c = shared.unpack(n, 8, np.int64)
                         known, values = k, c if kind == _WORDS else _log_probabilities(k, c, depth, split, top.value).astype(np.float32)
                         continue
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), _kinds(kind, 1), pa.array([data], pa.binary()), pa.array([_pack(values[np.searchsorted(known, k)], 8)], pa.binary())], names=["block", "kind", "keys", "values"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), _kinds(kind, 1), pa.array([data], pa.binary()), pa.array([shared.pack(values[np.searchsorted(known, k)], 8)], pa.binary())], names=["block", "kind", "keys", "values"])
 
     return run
 
@@ -432,9 +412,9 @@ class Table:
 def _read(rows: pa.Table, kind: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys and values of one kind that a block got back."""
     mine = rows.filter(pc.equal(rows.column("kind"), kind))
-    keys = [_unpack_keys(x, _width(kind, depth)) for x in mine.column("keys").to_pylist()]
+    keys = [shared.unpack_sorted(x, _width(kind, depth)) for x in mine.column("keys").to_pylist()]
     t = np.float32 if kind == _STRINGS else np.int64
-    values = [_unpack(x, t().itemsize, t) for x in mine.column("values").to_pylist()]
+    values = [shared.unpack(x, t().itemsize, t) for x in mine.column("values").to_pylist()]
     return np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, t), *values])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as the contracts define it.
 BLANKS = " \t\n\x0b\x0c\r"
 
-_made: dict[str, list[str]] = {}
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,15 +41,32 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the scratch tables of this application. DataFrames that read them can't be used afterwards."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of save() that nothing reads any more."""
+    delete(df.sparkSession, df._scratch)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that save() makes meanwhile are deleted at the end: what reads them has to be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -100,6 +118,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """What mix() made h of."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(pow(0xC4CEB9FE1A85EC53, -1, 1 << 64))
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(pow(0xFF51AFD7ED558CCD, -1, 1 << 64))
+    return h ^ (h >> np.uint64(33))
+
+
 def _tables(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
     lower = np.arange(256, dtype=np.uint64) + np.uint64(1)
     lower[65:91] += np.uint64(32)
@@ -140,6 +167,26 @@ def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(h * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+def pack(x: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of integers or floats, by place: so bytes that hardly differ stand together and compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)[:, :width].T.tobytes()
+
+
+def unpack(data: bytes, width: int, kind=np.uint64) -> np.ndarray:
+    out = np.zeros((len(data) // width, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view(kind).ravel()
+
+
+def pack_sorted(k: np.ndarray, width: int) -> bytes:
+    """Sorted unsigned integers, as their differences."""
+    return pack(np.diff(k, prepend=np.uint64(0)), width)
+
+
+def unpack_sorted(data: bytes, width: int) -> np.ndarray:
+    return np.cumsum(unpack(data, width), dtype=np.uint64)
+
+
 #: What operators keep in a Python worker from task to task, by operator: how to let go of it.
 caches: dict = {}
 

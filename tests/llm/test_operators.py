@@ -214,8 +214,29 @@ def test_parity_bits_bound_the_difference():
         for _ in range(50):
             pool = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
             x, y = pool[rng.random(len(pool)) < 0.7], pool[rng.random(len(pool)) < 0.7]
-            bits = [jaccard_join.parity_bits(s) for s in (x, y)]
-            assert np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+            for size in (None, 64):
+                bits = [jaccard_join.parity_bits(s, size) for s in (x, y)]
+                least = min(map(len, bits))
+                folded = [jaccard_join.fold(b, least) for b in bits]
+                assert np.bitwise_count(folded[0] ^ folded[1]).sum() <= len(np.setxor1d(x, y))
+                assert (jaccard_join.fold(bits[0], 8) == jaccard_join.parity_bits(x, 8)).all()
+
+
+def test_hashes_are_told_back():
+    x = np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        assert (shared.unmix(shared.mix(x)) == x).all()
+    assert (shared.unpack_sorted(shared.pack_sorted(np.sort(x), 8), 8) == np.sort(x)).all()
+
+
+def test_one_passage_in_dissimilar_documents(docs, monkeypatch):
+    """Many documents with one passage and own text beside it: linked only where they are similar, and dealt to several tasks."""
+    monkeypatch.setattr(jaccard_join, "OPEN_MEMBERS", 8)
+    rng = random.Random(9)
+    passage = prose(60, rng)
+    rows = [(i, f"{prose(rng.randrange(2, 60), rng)} {passage}") for i in range(300)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(rows)).collect()}
+    assert got == brute_components(rows)
 
 
 # decontamination
