@@ -39,7 +39,7 @@ ZONES = ((4, 80, 0), (64, 640, 8), (512, 5120, 32), (4096, 1 << 62, 256))
 #: log2 of the excess count from which a shingle is frequent.
 FREQUENT = 10
 #: Orders by which entries choose their first member.
-ORDERS = 4
+ORDERS = 32
 #: The filter of candidate documents has this many bits for each, within these bounds (as powers of two).
 FILTER_SHARE, FILTER_BITS = 16, (16, 30)
 #: 64-bit words of the short parity bits that every class has.
@@ -364,7 +364,7 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 def _collect_chunks(df: DataFrame, dtype, size: int) -> np.ndarray:
     """A fixed number of chunks of fixed size."""
     out = np.zeros(size, dtype)
-    for r in df.toLocalIterator():
+    for r in df.collect():
         part = np.frombuffer(r.counts, dtype)
         out[r.chunk * len(part) : (r.chunk + 1) * len(part)] = part
     return out
@@ -478,12 +478,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # rows with one doc_id and different sets tie their classes together as links do
     twice = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
     same_id = known.select("doc_id", "fp").join(twice, "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))
-    links = shared.save(verify.links(verify.close(pairs, "first"), "first").unionByName(same_id), "links")
-    labels = components(links)
+    labels = components(verify.links(verify.close(pairs, "first"), "first").unionByName(same_id))
     more = _open_pairs(members, labels, pairs, verify, fits)
     if not more.isEmpty():
-        links = links.unionByName(verify.links(verify.close(more, "second"), "second"))
-        labels = components(links)
+        found = verify.links(verify.close(more, "second"), "second")
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     # of each component the least doc_id, then of each class
     least = labels.join(reps.select(F.col("fp").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
