@@ -6,8 +6,8 @@ Window hashes of documents and benchmark items are joined; each hit is verified
 with an equal word and has at most one differing word for every four equal ones. A document is contaminated by an item if the equal words of that stretch
 reach `least` or, for shorter items, all of the item's words.
 
-The benchmark is taken in blocks of at most BLOCK_BYTES of text, one pass over the documents a block: within a block, the
-benchmark's side of the hash join is a table of bounded size on every executor, and documents aren't shuffled. One block serves any common benchmark.
+The benchmark is taken in blocks of at most BLOCK_BYTES of text, one pass over the documents a block: within a block, the benchmark's side of the hash join is a table of bounded size
+(40 bytes a word at most, made once and shipped as arrays) on every executor, and documents aren't shuffled. One block serves any common benchmark.
 
 Defined cases: null or empty texts, on either side, match nothing; a null doc_id gives rows like any other; a null item_id is an item of its own;
 repeated rows give repeated rows; other columns are ignored; empty tables give an empty result.
@@ -26,7 +26,7 @@ from lodetext.llm import shared
 
 #: Fixed masks over windows of words: 1 is looked at, 0 is ignored.
 MASKS = ("1111", "1110111", "111", "11", "1")
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 20
 _HITS = "doc_id long, item_id long, matched long, length long, doc_start long, doc_end long"
 
@@ -71,11 +71,11 @@ class Benchmark:
                     k = MASKS.index(m)
                     s = _seeds(w, m, k)
                     seed.append(s)
-                    item.append(np.full(len(s), i))
-                    pos.append(np.arange(len(s)))
-                    mask.append(np.full(len(s), k))
+                    item.append(np.full(len(s), i, np.int32))
+                    pos.append(np.arange(len(s), dtype=np.int32))
+                    mask.append(np.full(len(s), k, np.int8))
             cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-            seed, item, pos, mask = cat(seed, np.uint64), cat(item, np.int64), cat(pos, np.int64), cat(mask, np.int64)
+            seed, item, pos, mask = cat(seed, np.uint64), cat(item, np.int32), cat(pos, np.int32), cat(mask, np.int8)
         self.tables = {}
         for k in range(len(MASKS)):
             mine = np.flatnonzero(mask == k)
@@ -127,9 +127,9 @@ def overlaps(bench: Benchmark, texts: list[bytes | None], least: int) -> list[tu
     return [(d, i, *r) for (d, i), r in sorted(best.items())]
 
 
-def _search(items, least: int):
+def _search(block, least: int):
     def run(batches):
-        bench = Benchmark(items.value, least)
+        bench = block.value
         with np.errstate(over="ignore"):
             for ids, texts in shared.byte_batches(batches, ["doc_id", "text"]):
                 rows = [(ids[d], bench.ids[i], *r) for d, i, *r in overlaps(bench, texts, least)]
@@ -139,9 +139,9 @@ def _search(items, least: int):
     return run
 
 
-def _without(items, least: int):
+def _without(block, least: int):
     def run(batches):
-        bench = Benchmark(items.value, least)
+        bench = block.value
         with np.errstate(over="ignore"):
             for b in batches:
                 keep, done = np.ones(b.num_rows, bool), 0
@@ -154,26 +154,26 @@ def _without(items, least: int):
     return run
 
 
-def _blocks(benchmark: DataFrame):
-    """The benchmark's items, as broadcasts of about BLOCK_BYTES of text."""
+def _blocks(benchmark: DataFrame, least: int):
+    """The benchmark's items, as broadcasts of about BLOCK_BYTES of text with their tables."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
+        yield benchmark.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in part.toLocalIterator()], least))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 12) -> DataFrame:
     """A row for each document and benchmark item that overlap: item_id, equal words, the item's words, the stretch in the document's words."""
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [rows.mapInArrow(_search(items, least), _HITS) for items in _blocks(benchmark)]
+    found = [rows.mapInArrow(_search(block, least), _HITS) for block in _blocks(benchmark, least)]
     return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 12) -> DataFrame:
     """The rows of docs that overlap with no item; no row is moved."""
-    for items in _blocks(benchmark):
-        docs = docs.mapInArrow(_without(items, least), docs.schema)
+    for block in _blocks(benchmark, least):
+        docs = docs.mapInArrow(_without(block, least), docs.schema)
     return docs
 
 

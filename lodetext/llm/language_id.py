@@ -11,7 +11,6 @@ repeated rows give repeated rows; a null lang is not learned from; other columns
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +23,9 @@ from lodetext.llm import shared
 WINDOW, HIDDEN, BLOCK = 128, 8, 2048
 #: The bounds of what is learned from: documents for each language, windows for each document.
 SAMPLE, WINDOWS = 400, 6
+#: The score from which a language that isn't the label's contradicts the label.
+CONTRADICTED = 0.95
 
-_LETTER = re.compile(r"[^\W\d_]")
 _COUNTS = np.zeros(256, np.float32)
 _COUNTS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
@@ -142,6 +142,11 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps:
     return model
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of any script is a letter; numbers such as fractions and numerals aren't."""
+    return any(map(str.isalpha, text))
+
+
 def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts (the last of each filled up with spaces), and each one's text."""
     times = [-(-len(t) // WINDOW) for t in texts]
@@ -161,7 +166,7 @@ def classify(model: Model, texts: list[bytes | None]) -> tuple[list[str], list[f
     best = total.argmax(1)
     names, scores = [], []
     for k, t in enumerate(texts):
-        if weight[k] > 0 and _LETTER.search(t.decode()):
+        if weight[k] > 0 and has_letter(t.decode()):
             names.append(model.languages[best[k]])
             scores.append(min(1.0, float(total[k, best[k]] / weight[k])))
         else:
@@ -184,7 +189,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     texts, labels = [], []
     for r in chosen:
         for part in sorted(set(r.parts)):
-            if _LETTER.search(part):
+            if has_letter(part):
                 texts.append(part.encode()[:WINDOW].ljust(WINDOW))
                 labels.append(languages.index(r.lang))
     if not texts:
@@ -206,19 +211,26 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def without_rejected(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose text has a language, with a score of `least` or more; texts are read once and no row is moved.
+def without_rejected(docs: DataFrame, model: Model | None, contradicted: float = CONTRADICTED) -> DataFrame:
+    """The rows of docs whose text has a language; texts are read once and no row is moved.
 
-    Short texts have low scores though nothing is wrong with them, so none are rejected for that by default.
+    A row whose `lang` is another than the network's goes where the network's score is `contradicted` or more; a null `lang` becomes the network's.
+    Texts without letters have no language. Low scores alone reject nothing: short texts have them though nothing is wrong with them.
     """
     if model is None:
         return docs.limit(0)
+    labelled = "lang" in docs.columns and docs.schema["lang"].dataType.simpleString() == "string"
 
     def run(batches):
         for b in batches:
-            keep = []
+            found = []
             for (texts,) in shared.byte_batches([b.select(["text"])], ["text"]):
-                keep += [name != "und" and score >= least for name, score in zip(*classify(model, texts), strict=True)]
+                found += list(zip(*classify(model, texts), strict=True))
+            given = b.column("lang").to_pylist() if labelled else [None] * len(found)
+            keep = [name != "und" and (own in (None, name) or score < contradicted) for (name, score), own in zip(found, given, strict=True)]
+            if labelled:
+                k = b.schema.get_field_index("lang")
+                b = b.set_column(k, b.schema.field(k), pa.array([name if own is None else own for (name, _), own in zip(found, given, strict=True)], b.schema.field(k).type))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -81,7 +81,7 @@ def _tiles(shared_queries, k: int, scale: float):
                 y_norm = (qy.astype(np.int64) ** 2).sum(1).astype(np.float64)
                 product = qi.astype(wide) @ qy.astype(wide).T
                 dist = np.sqrt(np.maximum(q_norm[:, None] + y_norm[None] - 2.0 * product, 0)) * scale
-                lost = q_err[:, None] + y_err[None] + 1e-9
+                lost = (q_err[:, None] + y_err[None]) * (1 + 1e-9) + 1e-9 * scale
                 upper = dist + lost
                 upper[ids[:, None] == own[None]] = np.inf
                 limit = best.worst()

@@ -74,14 +74,15 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules_version: str =
     paths = shared.save(all_versions.select("doc_id", "blob"), "paths")
     unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("holder"))  # one path holds the text for all
     if ledger is not None:
-        known = ledger.where(F.col("rules_version") == rules_version)
+        known = ledger.where(F.col("rules_version") == rules_version).dropDuplicates(["blob"])
         unseen = unseen.join(known.select("blob"), "blob", "left_anti")
     unseen = unseen.withColumnRenamed("blob", "wanted")
     texts = all_versions.join(unseen, F.col("doc_id").eqNullSafe(F.col("holder")) & (F.col("blob") == F.col("wanted"))).select("blob", "text")
-    found = shared.save(texts.mapInArrow(_scan, _FOUND), "found").dropDuplicates(["blob"])
+    # repeated rows give a blob twice; saved, so that the join below has nothing but exchanges beneath it and large blobs can be split
+    found = shared.save(shared.save(texts.mapInArrow(_scan, _FOUND), "found").dropDuplicates(["blob"]), "findings")
     new = found.withColumn("rules_version", F.lit(rules_version))
     full = new if ledger is None else ledger.unionByName(new)
-    current = found if ledger is None else found.unionByName(known.drop("rules_version"))
+    current = found if ledger is None else shared.save(found.unionByName(known.drop("rules_version")), "current")
     return paths.join(current, "blob").drop("blob"), full
 
 

@@ -24,7 +24,7 @@ TRACKING = r"^(ref|fbclid|gclid|sid|sessionid|phpsessid|utm_[^=]*)(=.*)?$"
 #: Stored headers that a not-modified response may not replace: they describe the body.
 KEPT = ("content-length", "content-type", "content-encoding", "content-range", "transfer-encoding", "content-location")
 #: Captures between a page and its revisit in the query below.
-LAG = 1000
+LAG = 60
 
 
 def canonical_url(url: F.Column) -> F.Column:
@@ -44,8 +44,9 @@ def merged_headers(stored: F.Column, update: F.Column) -> F.Column:
     return F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)
 
 
-def resolve(captures: DataFrame, slices: int = SLICES) -> DataFrame:
-    """For captures (record_id, url, ts, full, etag, last_modified, headers): a row for each that isn't full."""
+def resolve(captures: DataFrame, slices: int | None = None) -> DataFrame:
+    """For captures (record_id, url, ts, full, etag, last_modified, headers): a row for each that isn't full. slices: by default as many as there are shuffle partitions, SLICES at least."""
+    slices = slices or max(SLICES, shared.partitions(captures.sparkSession))
     none = F.create_map().cast("map<string,string>")
     rows = captures.select(
         F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), F.coalesce("full", F.lit(False)).alias("full"),
