@@ -54,7 +54,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         else:
             query = json.loads(a.json) if a.json else {"column": a.column, "match": a.match, "operator": a.operator}
             rows = [json.loads(r) for r in table.search(query, a.select, a.limit, a.score).toJSON().toLocalIterator()]
-            out = {"rows": rows, "stats": dataclasses.asdict(table.search_stats(query))}
+            stats = table.search_stats(query)
+            out = {"rows": rows, "stats": dataclasses.asdict(stats) | {"rows_scanned": stats.rows_scanned}}
     print(json.dumps(out, indent=2, default=str))
     return out
 

@@ -7,20 +7,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodetext.functions.tokenizer import TOKENIZERS
+from lodetext.functions.tokenizer import TOKENIZERS, tokens, with_tokens
 
 BLOCK_ROWS = 1000
 
 
-def located(spark: SparkSession, files: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Rows with the file and the place in it: _file, _row."""
-    df = spark.read.parquet(*files)
+def located(spark: SparkSession, files: list[str], columns: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Rows with the file and the place in it: _file, _row. With a schema no file is opened beforehand, and columns that a file lacks are null."""
+    df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(*files)
     return df.select(*([F.col(f"`{c}`") for c in columns] if columns is not None else ["*"]), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def tokenised(rows: DataFrame, column: str, tokenizer: str, block_rows: int) -> DataFrame:
-    found = TOKENIZERS[tokenizer](F.col(f"`{column}`"))
+    if TOKENIZERS[tokenizer] is tokens:
+        rows, by_column, _ = with_tokens(rows, [column])
+        found = by_column[column]
+    else:
+        found = TOKENIZERS[tokenizer](F.col(f"`{column}`"))
     return rows.select("_file", F.floor(F.col("_row") / block_rows).cast("long").alias("block"), F.coalesce(found, F.array().cast("array<string>")).alias("tokens"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodetext.functions import bm25
-from lodetext.functions.tokenizer import Term, holds, normalised, occurrences, tokens
+from lodetext.functions.tokenizer import Term, computed_once, holds, occurrences, unused_prefix, with_tokens
 from lodetext.plans import query as Q
 
 
@@ -36,16 +36,20 @@ def wanted_terms(query: Q.Query) -> dict[str, list[Term]]:
 def collect_stats(df: DataFrame, terms: dict[str, list[Term]]) -> dict[str, ColumnStats]:
     """One aggregate over df for all columns and terms."""
     aggs = [F.count(F.lit(1)).alias("n")]
+    df, by_column, _ = with_tokens(df.select(*[F.col(f"`{c}`") for c in terms]), list(terms))
     for i, (column, wanted) in enumerate(terms.items()):
-        found = tokens(F.col(f"`{column}`"))
+        found = by_column[column]
         aggs.append(F.sum(F.coalesce(F.size(found), F.lit(0))).alias(f"t{i}"))
         aggs += [F.sum(F.coalesce(holds(found, t), F.lit(False)).cast("long")).alias(f"d{i}_{j}") for j, t in enumerate(wanted)]
     r = df.agg(*aggs).first()
     return {c: ColumnStats(r.n, r[f"t{i}"] or 0, {t: r[f"d{i}_{j}"] or 0 for j, t in enumerate(w)}) for i, (c, w) in enumerate(terms.items())}
 
 
-def score_column(query: Q.Query, found: dict[str, Column], stats: dict[str, ColumnStats]) -> Column:
-    """Sum over matching leaves of the BM25 scores of their terms; a repeated term counts each time."""
+def scored(rows: DataFrame, query: Q.Query, found: dict[str, Column], stats: dict[str, ColumnStats]) -> DataFrame:
+    """Matching rows with score: the sum over matching leaves of the BM25 scores of their terms; a repeated term counts each time. Each term is counted once a row."""
+    prefix = unused_prefix(rows)
+    places = {(c, t): f"{prefix}tf{k}" for k, (c, t) in enumerate((c, t) for c, wanted in wanted_terms(query).items() for t in wanted)}
+    counted = computed_once(rows, {n: occurrences(found[c], t) for (c, t), n in places.items()}) if places else rows
     total = F.lit(0.0)
     for m in Q.leaves(query):
         s = stats[m.column]
@@ -53,17 +57,17 @@ def score_column(query: Q.Query, found: dict[str, Column], stats: dict[str, Colu
         length = F.size(found[m.column])
         leaf = F.lit(0.0)
         for t in m.terms:
-            leaf = leaf + bm25.score_column(occurrences(found[m.column], t), length, average, s.df.get(t, 0), s.rows)
-        total = total + F.when(Q.condition(m, found), leaf).otherwise(F.lit(0.0))
-    return total
+            leaf = leaf + bm25.score_column(F.col(places[m.column, t]), length, average, s.df.get(t, 0), s.rows)
+        holding = [F.coalesce(F.col(places[m.column, t]) > 0, F.lit(False)) for t in m.terms]
+        total = total + F.when(Q.fold(holding, m.operator == "and"), leaf).otherwise(F.lit(0.0))
+    return counted.withColumn("score", total).drop(*places.values())
 
 
 def matches(df: DataFrame, query: Q.Query, stats: dict[str, ColumnStats] | None = None) -> DataFrame:
     """The matching rows of df; with statistics, and their score."""
-    text = {c: normalised(F.col(f"`{c}`")) for c in Q.columns(query)}
-    found = {c: tokens(F.col(f"`{c}`")) for c in Q.columns(query)}
-    hits = df.where(Q.prefilter(query, text)).where(Q.condition(query, found))
-    return hits if stats is None else hits.withColumn("score", score_column(query, found, stats))
+    rows, found, added = with_tokens(df, Q.columns(query), lambda low: Q.prefilter(query, low))
+    hits = rows.where(Q.condition(query, found))
+    return (hits if stats is None else scored(hits, query, found, stats)).drop(*added)
 
 
 def search(df: DataFrame, query: Q.Query, scored: bool = False, stats: dict[str, ColumnStats] | None = None) -> DataFrame:

@@ -68,6 +68,12 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, ["file", "block"], "left_anti")
 
 
+def expanded(spark: SparkSession, root: str, segments: list[dict], match: Q.Match) -> list[list[str]]:
+    """For each distinct term of a leaf the words of the segments that it stands for; prefixes come from the terms, suffixes from the reversed terms."""
+    paths = [f"{root}/{s['path']}" for s in segments]
+    return [expansions(spark, paths, t) if paths else [] for t in dict.fromkeys(match.terms)]
+
+
 def blocks_of(found: DataFrame, term: Term) -> DataFrame:
     return found.where(_term_filter(term)).select("file", "block").distinct()
 
@@ -78,14 +84,14 @@ def leaf_blocks(spark: SparkSession, segments: list[dict], root: str, match: Q.M
     if not kept:
         return spark.createDataFrame([], "file string, block long")
     found = spark.read.parquet(*[f"{root}/{s['path']}/postings" for s in kept])
-    terms = list(dict.fromkeys(match.terms))
-    any_term = found.where(reduce(lambda a, b: a | b, [_term_filter(t) for t in terms]))
-    if match.operator == "or" or len(terms) == 1:
+    words = expanded(spark, root, kept, match)
+    any_term = found.where(F.col("term").isin(sorted({w for group in words for w in group})))
+    if match.operator == "or" or len(words) == 1:
         return any_term.select("file", "block").distinct()
     # one pass over the postings of all terms, instead of a join for each
-    each = [F.max(_term_filter(t).cast("int")).alias(f"h{i}") for i, t in enumerate(terms)]
+    each = [F.max(F.col("term").isin(group).cast("int")).alias(f"h{i}") for i, group in enumerate(words)]
     all_of = any_term.groupBy("file", "block").agg(*each)
-    return all_of.where(reduce(lambda a, b: a & b, [F.col(f"h{i}") == 1 for i in range(len(terms))])).select("file", "block")
+    return all_of.where(reduce(lambda a, b: a & b, [F.col(f"h{i}") == 1 for i in range(len(words))])).select("file", "block")
 
 
 def candidate_blocks(spark: SparkSession, by_column: dict[str, list[dict]], root: str, query: Q.Query) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodetext.functions.tokenizer import Term, holds, lowered, parse_terms
+from lodetext.functions.tokenizer import Term, holds, parse_terms
 
 OPERATORS = ("or", "and")
 
@@ -85,24 +85,23 @@ def columns(query: Query) -> list[str]:
     return list(dict.fromkeys(m.column for m in leaves(query)))
 
 
-def _fold(parts: list[Column], all_of: bool) -> Column:
+def fold(parts: list[Column], all_of: bool) -> Column:
     return reduce(lambda a, b: a & b if all_of else a | b, parts) if parts else F.lit(False)
 
 
 def leaf_condition(match: Match, tokens: Column) -> Column:
-    return _fold([holds(tokens, t) for t in match.terms], match.operator == "and")
+    return fold([holds(tokens, t) for t in match.terms], match.operator == "and")
 
 
 def condition(query: Query, tokens: dict[str, Column]) -> Column:
     """Whether a row matches, given each column's tokens. Null texts never match."""
     if isinstance(query, Match):
         return F.coalesce(leaf_condition(query, tokens[query.column]), F.lit(False))
-    return _fold([condition(p, tokens) for p in query.parts], isinstance(query, And))
+    return fold([condition(p, tokens) for p in query.parts], isinstance(query, And))
 
 
-def prefilter(query: Query, texts: dict[str, Column]) -> Column:
-    """A cheap condition that every match fulfils: the terms as substrings of the lowered text, before anything is tokenised."""
+def prefilter(query: Query, low: dict[str, Column]) -> Column:
+    """A cheap condition that every match fulfils: the terms as substrings of the lowered texts, before anything is tokenised."""
     if isinstance(query, Match):
-        low = lowered(texts[query.column])
-        return F.coalesce(_fold([F.contains(low, F.lit(t.text)) for t in query.terms], query.operator == "and"), F.lit(False))
-    return _fold([prefilter(p, texts) for p in query.parts], isinstance(query, And))
+        return F.coalesce(fold([F.contains(low[query.column], F.lit(t.text)) for t in query.terms], query.operator == "and"), F.lit(False))
+    return fold([prefilter(p, low) for p in query.parts], isinstance(query, And))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodetext.functions import bm25
-from lodetext.functions.tokenizer import Term, tokens
+from lodetext.functions.tokenizer import Term, lowered, tokens, with_tokens
 from lodetext.operators import index as I
 from lodetext.operators import scan_search as S
 from lodetext.plans import pruning as P
@@ -89,8 +89,9 @@ def term_df(spark, d):
 
 
 def corpus_stats(spark, d):
-    n = F.size(tokens(F.col("text")))
-    return _read(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(n).cast("long").alias("n_tokens"), F.round(F.avg(n), 6).alias("avg_dl"))
+    docs, found, _ = with_tokens(_read(spark, d, "documents").select("text"), ["text"])
+    n = F.size(found["text"])
+    return docs.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(n).cast("long").alias("n_tokens"), F.round(F.avg(n), 6).alias("avg_dl"))
 
 
 def postings(spark, d):
@@ -177,6 +178,147 @@ def sql_functions(spark, d):
     return spark.sql("SELECT doc_id FROM lt_documents WHERE lt_match_all(text, 'the of')")
 
 
+def posting_difference(spark, d):
+    """Blocks with a term of which the other, rarer term is in none."""
+    found = _postings(spark, d)
+    return P.difference(P.blocks_of(found, Term("the")), P.blocks_of(found, Term("oieuxelle"))).select("block")
+
+
+def search_indic(spark, d):
+    """Words with vowel signs and circled letters: found as they are split."""
+    rows = [(1, "यह भाषा हिन्दी है"), (2, "தமிழ் மொழி"), (3, "plain words"), (4, "Ⓐ circled"), (5, "e\u0301te\u0301"), (6, None)]
+    return S.search(spark.createDataFrame(rows, "id long, text string"), M("text", "भाषा தமிழ் Ⓐ été")).select("id")
+
+
+def _several(spark, d, parts: int = 4) -> SearchTable:
+    """An index of documents in files by doc_id modulo `parts`, a segment each."""
+    root = _folder(spark)
+    table = SearchTable.create(spark, f"{root}/table", "documents", f"{root}/data", ["text"])
+    for k in range(parts):
+        _read(spark, d, "documents").where(F.pmod("doc_id", F.lit(parts)) == k).coalesce(1).write.parquet(f"{root}/data/{k}")
+        table.index(files=spark.read.parquet(f"{root}/data/{k}").inputFiles(), block_rows=BLOCK)
+    return table
+
+
+def compacted_search(spark, d):
+    """Four segments merged into one, the old ones vacuumed; then a scored search."""
+    table = _several(spark, d)
+    merged = table.compact("text")
+    if (merged.segments_merged, merged.segments_created, table.vacuum(0).files_deleted) != (4, 1, 4):
+        raise AssertionError(merged)
+    return table.search(M("text", "leaux queeux rele"), ["doc_id"], score="all").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def stale_search(spark, d):
+    """One of four files leaves the table; its rows are gone and count in no statistics, before and after compaction."""
+    table = _several(spark, d)
+    table.remove_files([f for f in table.state()["files"] if "/data/3/" in f])
+    table.compact("text")
+    return table.search(M("text", "leaux the"), ["doc_id"], score="all").select("doc_id", F.round("score", 6).alias("score"))
+
+
+def segment_scores(spark, d):
+    """Scores by each segment's own statistics, two segments of documents with even and odd doc_id."""
+    table = _several(spark, d, 2)
+    hits = table.search(M("text", "leaux"), ["doc_id"], score="all", stats_scope="segment")
+    return hits.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def score_modes(spark, d):
+    """Rows that no segment covers have a null score when only indexed ones are scored."""
+    table = _table(spark, d, halves=True)
+    hits = table.search(M("text", "leaux queeux rele"), ["doc_id"], score="indexed")
+    return hits.agg(F.count(F.lit(1)).alias("hits"), (F.count("score") < F.count(F.lit(1))).alias("some_null"), (F.count("score") > 0).alias("some_scored"))
+
+
+def scan_above(spark, d):
+    """A frequent term passes the index over."""
+    return _table(spark, d).search(M("text", "the"), ["doc_id"], scan_above=0.01).select("doc_id")
+
+
+def long_hits_by_source(spark, d):
+    """The 99th percentile of the length of each source's hits."""
+    hits = S.search(_read(spark, d, "documents"), M("text", "the of"))
+    return hits.groupBy("source").agg(F.count(F.lit(1)).alias("hits"), F.round(F.percentile("n_chars", F.lit(0.99)), 4).alias("p99"))
+
+
+def hits_in_time(spark, d):
+    """Text and time filtered together: both reach the scan's rows before anything is joined."""
+    events = _read(spark, d, "events")
+    bounds = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    middle = bounds.lo + (bounds.hi - bounds.lo) / 2
+    hits = S.search(events.where(F.col("ts") >= F.lit(middle)), M("event_type", "error"))
+    return hits.groupBy("user_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def hits_by_hour(spark, d):
+    """Tumbling windows of hits."""
+    hits = S.search(_read(spark, d, "events"), M("event_type", "error"))
+    return hits.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("hits")).select(F.col("w.start").cast("string").alias("start"), "hits")
+
+
+def http_search(spark, d):
+    """A search over HTTP, its rows as a table."""
+    import json
+    import threading
+    import urllib.request
+
+    from lodetext.server import Searches, http_server
+
+    table = _table(spark, d)
+    server = http_server(Searches(spark, {"tables": {"docs": table.root}}))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        body = json.dumps({"column": "text", "match": "leaux queeux", "select": ["doc_id"]}).encode()
+        with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_address[1]}/v1/tables/docs/search", body, {"Content-Type": "application/json"})) as r:
+            rows = json.load(r)["rows"]
+    finally:
+        server.shutdown()
+        server.server_close()
+    return spark.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long")
+
+
+def flight_search(spark, d):
+    """A search over Arrow Flight, its batches as a table."""
+    import json
+
+    import pyarrow.flight as fl
+
+    from lodetext.server import Searches, flight_server
+
+    table = _table(spark, d)
+    with flight_server(Searches(spark, {"tables": {"docs": table.root}})) as server:
+        with fl.connect(f"grpc://127.0.0.1:{server.port}") as client:
+            got = client.do_get(fl.Ticket(json.dumps({"table": "docs", "column": "text", "match": "leaux queeux", "select": ["doc_id"]}).encode())).read_all()
+    return spark.createDataFrame([(x,) for x in got.column("doc_id").to_pylist()], "doc_id long")
+
+
+def streamed_index(spark, d):
+    """Arriving files, indexed batch by batch, and searched."""
+    from lodetext.streaming.ingest import index_arrivals
+
+    root = _folder(spark)
+    _read(spark, d, "documents").select("doc_id", "text").repartitionByRange(3, "doc_id").write.parquet(f"{root}/in")
+    table = SearchTable.create(spark, f"{root}/table", "documents", f"{root}/data", ["text"])
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    index_arrivals(stream, table, f"{root}/checkpoint").awaitTermination()
+    return table.search(M("text", "leaux queeux"), ["doc_id"]).select("doc_id")
+
+
+def streamed_windows(spark, d):
+    """Hits of a stream in sliding windows under a watermark, written out by batches."""
+    from lodetext.streaming.ingest import windowed_hits
+
+    root = _folder(spark)
+    events = _read(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    events.coalesce(1).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+    hits = windowed_hits(stream, M("event_type", "error"), "ts", "2 hours", "1 day", "1 hour")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/out/{number}")
+    hits.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out/*").select(F.col("window.start").cast("string").alias("start"), "hits")
+
+
 _TREE = Q.And((Q.Or((M("text", "leaux queeux"), M("text", "the of", "and"))), Q.Or((M("source", "src1 src2 src3"), M("lang", "fr")))))
 _MULTI = Q.Or((M("text", "leaux the"), M("lang", "fr")))
 
@@ -189,7 +331,7 @@ QUERIES = {
     "match_or": _scan(M("text", "leaux queeux")),
     "match_and": _scan(M("text", "the of", "and")),
     "match_many_terms": _scan(M("text", "leaux queeux rele the of oieuxelle")),
-    "substring_prefilter": lambda spark, d: _read(spark, d, "documents").where(Q.prefilter(M("text", "leau"), {"text": F.col("text")})).select("doc_id"),
+    "substring_prefilter": lambda spark, d: _read(spark, d, "documents").where(Q.prefilter(M("text", "leau"), {"text": lowered(F.col("text"))})).select("doc_id"),
     "prefix_match": _scan(M("text", "con*")),
     "suffix_match": _scan(M("text", "*eaux")),
     "bool_tree": _scan(_TREE),
@@ -208,7 +350,7 @@ QUERIES = {
     "compact_df": compact_df,
     "posting_intersect": _set(P.intersect),
     "posting_union": _set(P.union),
-    "posting_difference": _set(P.difference),
+    "posting_difference": posting_difference,
     "pruned_blocks": pruned_blocks,
     "expanded_terms": expanded_terms,
     "hits_by_lang": hits_by_lang,
@@ -220,6 +362,20 @@ QUERIES = {
     "conversation_search": lambda spark, d: S.search(_read(spark, d, "conversations"), M("text", "the of", "and")).select("conv_id", "turn"),
     "page_search": lambda spark, d: S.search(_read(spark, d, "pages"), M("html", "nicht")).select("page_id"),
     "sql_functions": sql_functions,
+    "indexed_suffix": _indexed(M("text", "*eaux")),
+    "search_indic": search_indic,
+    "compacted_search": compacted_search,
+    "stale_search": stale_search,
+    "segment_scores": segment_scores,
+    "score_modes": score_modes,
+    "scan_above": scan_above,
+    "long_hits_by_source": long_hits_by_source,
+    "hits_in_time": hits_in_time,
+    "hits_by_hour": hits_by_hour,
+    "http_search": http_search,
+    "flight_search": flight_search,
+    "streamed_index": streamed_index,
+    "streamed_windows": streamed_windows,
 }
 
 
@@ -284,7 +440,7 @@ ORACLE = {
     "compact_df": f"{_POST} SELECT term, sum(row_hits)::BIGINT AS df FROM p GROUP BY term",
     "posting_intersect": _BLOCK_SET("INTERSECT"),
     "posting_union": _BLOCK_SET("UNION"),
-    "posting_difference": _BLOCK_SET("EXCEPT"),
+    "posting_difference": f"{_POST} SELECT block::BIGINT AS block FROM (SELECT block FROM p WHERE term = 'the' EXCEPT SELECT block FROM p WHERE term = 'oieuxelle')",
     "pruned_blocks": _BLOCK_SET("INTERSECT"),
     "expanded_terms": f"WITH {_DOCS} SELECT DISTINCT term FROM (SELECT unnest(tk) AS term FROM tok) WHERE starts_with(term, 'leau')",
     "hits_by_lang": f"WITH {_DOCS} SELECT lang, count(*)::BIGINT AS hits FROM tok WHERE {_has('the', 'of')} GROUP BY lang",
@@ -296,4 +452,19 @@ ORACLE = {
     "conversation_search": f"WITH tok AS (SELECT *, {_t('text')} AS tk FROM conversations) SELECT conv_id, turn FROM tok WHERE list_contains(tk, 'the') AND list_contains(tk, 'of')",
     "page_search": f"WITH tok AS (SELECT *, {_t('html')} AS tk FROM pages) SELECT page_id FROM tok WHERE {_has('nicht')}",
     "sql_functions": _AND,
+    "indexed_suffix": f"WITH {_DOCS} SELECT doc_id FROM tok WHERE len(list_filter(tk, lambda x: ends_with(x, 'eaux'))) > 0",
+    "search_indic": "SELECT id::BIGINT AS id FROM (VALUES (1), (2), (4), (5)) t(id)",
+    "compacted_search": _bm25(_THREE),
+    "stale_search": _bm25(["leaux", "the"]).replace("FROM tok)", "FROM tok WHERE doc_id % 4 <> 3)", 1).replace("FROM tok WHERE list", "FROM tok WHERE doc_id % 4 <> 3 AND (list", 1).replace("), s AS", ")), s AS", 1),
+    "segment_scores": _bm25(["leaux"]).replace("FROM tok)", "FROM tok WHERE doc_id % 2 = 0)", 1).replace("FROM tok WHERE list", "FROM tok WHERE doc_id % 2 = 0 AND list", 1)
+    + " UNION ALL (" + _bm25(["leaux"]).replace("FROM tok)", "FROM tok WHERE doc_id % 2 = 1)", 1).replace("FROM tok WHERE list", "FROM tok WHERE doc_id % 2 = 1 AND list", 1) + ")",
+    "score_modes": f"WITH {_DOCS} SELECT count(*)::BIGINT AS hits, true AS some_null, true AS some_scored FROM tok WHERE {_has(*_THREE)}",
+    "scan_above": f"WITH {_DOCS} SELECT doc_id FROM tok WHERE {_has('the')}",
+    "long_hits_by_source": f"WITH {_DOCS} SELECT source, count(*)::BIGINT AS hits, round(quantile_cont(n_chars, 0.99), 4)::DOUBLE AS p99 FROM tok WHERE {_has('the', 'of')} GROUP BY source",
+    "hits_in_time": "WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events) SELECT user_id, count(*)::BIGINT AS hits FROM events, b WHERE event_type = 'error' AND ts >= lo + (hi - lo) / 2 GROUP BY user_id",
+    "hits_by_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS hits FROM events WHERE event_type = 'error' GROUP BY 1",
+    "http_search": _OR,
+    "flight_search": _OR,
+    "streamed_index": _OR,
+    "streamed_windows": "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS hits FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events WHERE event_type = 'error') GROUP BY 1",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,14 +24,18 @@ def windowed_hits(stream: DataFrame, query: Q.Query, time: str, window: str, lat
 
 
 def index_arrivals(stream: DataFrame, table: SearchTable, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Appends each batch as a data file of the table and indexes it; every compaction tier fills as with batch runs."""
+    """Appends each batch as data files of the table and indexes them; every compaction tier fills as with batch runs.
+
+    A batch that runs again (after a failure between its commits) is written to a folder of its own and takes the place of its first attempt in one commit.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        path = f"{table.state()['location'].rstrip('/')}/batch-{number}"
-        batch.write.mode("overwrite").parquet(path)
+        folder = f"{table.state()['location'].rstrip('/')}/batch-{number}"
+        path = f"{folder}/{uuid.uuid4().hex}"
+        batch.write.parquet(path)
         files = batch.sparkSession.read.parquet(path).inputFiles()
+        files = table.replace_files(folder, files)
         if files:
-            table.register_files(files)
             for column in table.columns():
                 table.index([column], files)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -81,7 +82,10 @@ def batch_id(column: str, files: list[str]) -> str:
 
 
 class SearchTable:
-    """create() or open(); then register_files(), index(), search(), compact(), vacuum()."""
+    """create() or open(); then register_files(), index(), search(), compact(), vacuum().
+
+    Files may differ in their columns: the table has all of them, and a column that a file lacks is null there and matches nothing.
+    """
 
     def __init__(self, spark: SparkSession, root: str, mode: str = "rw"):
         self.spark, self.root, self.mode = spark, root.rstrip("/"), mode
@@ -149,12 +153,36 @@ class SearchTable:
         found = files if files is not None else data_files(self.spark, self.state()["location"])
         found = [self._qualified(f) for f in found]
 
+        self._register(found, lambda f: True)
+        return found
+
+    def replace_files(self, folder: str, files: list[str]) -> list[str]:
+        """In one commit the files of a folder go and the given ones come: a batch that is written again leaves nothing of its first attempt."""
+        folder = self._qualified(folder).rstrip("/") + "/"
+        found = [self._qualified(f) for f in files]
+        self._register(found, lambda f: not f.startswith(folder))
+        return found
+
+    def _register(self, found: list[str], stays) -> None:
+        known = set(self.state()["files"])
+        new = [f for f in found if f not in known]
+        # footers are read once, by tasks; later reads take the schema from the state
+        schema = self.spark.read.option("mergeSchema", "true").parquet(*new).schema if new else T.StructType()
+
         def change(state):
-            new = [f for f in found if f not in state["files"]]
-            return state | {"files": state["files"] + new} if new else None
+            files = [f for f in state["files"] if stays(f)]
+            have = set(files)
+            files += [f for f in found if f not in have]
+            columns = {c.name: c for c in self._schema(state).fields} | {c.name: c for c in schema.fields if c.name not in self._schema(state).names}
+            return state | {"files": files, "schema": T.StructType(list(columns.values())).json()} if files != state["files"] else None
 
         self._change(change)
-        return found
+
+    def _schema(self, state: dict) -> T.StructType:
+        return T.StructType.fromJson(json.loads(state["schema"])) if state.get("schema") else T.StructType()
+
+    def _read(self, state: dict, files: list[str]) -> DataFrame:
+        return self.spark.read.schema(self._schema(state)).parquet(*files)
 
     def remove_files(self, files: list[str]) -> None:
         gone = {self._qualified(f) for f in files}
@@ -167,7 +195,7 @@ class SearchTable:
     # index
 
     def index(self, columns: list[str] | None = None, files: list[str] | None = None, block_rows: int = I.BLOCK_ROWS) -> list[IndexResult]:
-        """Indexes the files that a column's segments don't cover yet; files without the column are left to the scan."""
+        """Indexes the files that a column's segments don't cover yet."""
         if files is not None or not self.state()["files"]:
             self.register_files(files)
         out = []
@@ -177,14 +205,15 @@ class SearchTable:
                 raise NotIndexed(column)
             known = {f for s in state["segments"] if s["column"] == column for f in s["files"]}
             wanted = [self._qualified(f) for f in files] if files is not None else state["files"]
-            todo = [f for f in wanted if f not in known and column in self.spark.read.parquet(f).columns]
+            schema = self._schema(state)
+            todo = [f for f in wanted if f not in known] if column in schema.names else []
             if not todo:
                 out.append(IndexResult(column, 0, 0, self.log.version()))
                 continue
-            kind = self.spark.read.parquet(*todo).schema[column].dataType
+            kind = schema[column].dataType
             if not isinstance(kind, T.StringType):
                 raise TypeError(f"{column} is {kind.simpleString()}; only strings are indexed")
-            rows = I.tokenised(I.located(self.spark, todo, [column]), column, state["columns"][column]["tokenizer"], block_rows)
+            rows = I.tokenised(I.located(self.spark, todo, [column], schema), column, state["columns"][column]["tokenizer"], block_rows)
             segment = self._write(column, todo, I.postings(rows), I.blocks(rows), block_rows, "append")
             batch = segment["batch_id"]
 
@@ -244,33 +273,33 @@ class SearchTable:
             empty = self.spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in Q.columns(query)]))
             return empty.selectExpr("*", "cast(null as double) as score", "'' as _file", "0L as _row"), empty.columns
         by_column, indexed, tail = self._cover(state, query)
-        sample = self.spark.read.parquet(*state["files"])
+        schema = self._schema(state)
+        if missing := set(Q.columns(query)) - set(schema.names):
+            raise ValueError(f"unknown columns: {sorted(missing)}")
         terms = S.wanted_terms(query)
         parts = []
-        stats = self._stats(by_column, indexed, tail, terms) if score != "none" or scan_above < 1 else None
+        stats = self._stats(by_column, indexed, tail, terms, state) if score != "none" or scan_above < 1 else None
         if indexed:
             block_rows = {s["block_rows"] for v in by_column.values() for s in v}
-            rows = I.located(self.spark, indexed)
+            rows = I.located(self.spark, indexed, schema=schema)
             if len(block_rows) == 1 and not (stats and P.selectivity(self._merged_df(stats), next(iter(stats.values())).rows, query) > scan_above):
-                rows = self._pruned(query, by_column, indexed, block_rows.pop())
+                rows = self._pruned(state, query, by_column, indexed, block_rows.pop())
             if rows is not None:
                 if score != "none" and scope == "segment" and len(by_column) == 1:
                     parts += self._by_segment(rows, query, by_column, terms)
                 else:
                     parts.append(S.matches(rows, query, stats if score != "none" else None))
         if tail:
-            known = [f for f in tail if set(Q.columns(query)) <= set(self.spark.read.parquet(f).columns)]
-            if known:
-                found = S.matches(I.located(self.spark, known), query, stats if score == "all" else None)
-                parts.append(found.withColumn("score", F.lit(None).cast("double")) if score == "indexed" else found)
+            found = S.matches(I.located(self.spark, tail, schema=schema), query, stats if score == "all" else None)
+            parts.append(found.withColumn("score", F.lit(None).cast("double")) if score == "indexed" else found)
         if not parts:
-            parts = [S.matches(I.located(self.spark, state["files"][:1]).limit(0), query, stats if score != "none" else None)]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), sample.columns
+            parts = [S.matches(I.located(self.spark, state["files"][:1], schema=schema).limit(0), query, stats if score != "none" else None)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), schema.names
 
     def _merged_df(self, stats: dict[str, S.ColumnStats]) -> dict:
         return {t: n for s in stats.values() for t, n in s.df.items()}
 
-    def _stats(self, by_column, indexed, tail, terms) -> dict[str, S.ColumnStats]:
+    def _stats(self, by_column, indexed, tail, terms, state: dict | None = None) -> dict[str, S.ColumnStats]:
         """Exact statistics: sums of the index where it covers live files alone, and one pass over the other files."""
         out = {}
         for column, wanted in terms.items():
@@ -282,27 +311,30 @@ class SearchTable:
                 df = P.document_frequencies(self.spark, [f"{self.root}/{s['path']}" for s in segments], wanted)
                 total = S.ColumnStats(sum(s["total_rows"] for s in segments), sum(s["total_tokens"] for s in segments), df)
             if rest:
-                total = total.plus(S.collect_stats(self.spark.read.parquet(*rest), {column: wanted})[column])
+                total = total.plus(S.collect_stats(self._read(state or self.state(), rest), {column: wanted})[column])
             out[column] = total
         return out
 
     def _by_segment(self, rows: DataFrame, query: Q.Query, by_column, terms) -> list[DataFrame]:
-        """Each segment's rows, scored with its own statistics."""
+        """Each segment's rows, scored with its own statistics; a file in several segments counts for the last."""
         (column, segments), out = next(iter(by_column.items())), []
-        for s in segments:
+        of = {f: k for k, s in enumerate(segments) for f in s["files"]}
+        for k, s in enumerate(segments):
             df = P.document_frequencies(self.spark, [f"{self.root}/{s['path']}"], terms[column])
             own = {column: S.ColumnStats(s["total_rows"], s["total_tokens"], df)}
-            out.append(S.matches(rows.where(F.col("_file").isin(s["files"])), query, own))
+            mine = [f for f in s["files"] if of[f] == k]
+            if mine:
+                out.append(S.matches(rows.where(F.col("_file").isin(mine)), query, own))
         return out
 
-    def _pruned(self, query: Q.Query, by_column, indexed: list[str], block_rows: int) -> DataFrame | None:
+    def _pruned(self, state: dict, query: Q.Query, by_column, indexed: list[str], block_rows: int) -> DataFrame | None:
         """Rows of candidate blocks: other files aren't opened, other blocks are left out before anything is tokenised."""
-        blocks = P.candidate_blocks(self.spark, by_column, self.root, query).persist()
+        blocks = P.candidate_blocks(self.spark, by_column, self.root, query)
         per_file = {r.file: r["count"] for r in blocks.groupBy("file").count().collect()}  # as many rows as files
         files = [f for f in indexed if f in per_file]
         if not files:
             return None
-        rows = I.located(self.spark, files)
+        rows = I.located(self.spark, files, schema=self._schema(state))
         wanted = blocks.select(F.col("file").alias("_file"), F.col("block").alias("_block"))
         if sum(per_file.values()) <= BROADCAST_BLOCKS:
             wanted = F.broadcast(wanted)
@@ -322,9 +354,9 @@ class SearchTable:
             sizes = [self.spark.read.parquet(f"{self.root}/{s['path']}/blocks") for s in next(iter(by_column.values()))]
             in_blocks = reduce(DataFrame.unionByName, sizes).join(found, ["file", "block"], "left_semi")
             blocks, scanned = in_blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        tail_rows = self.spark.read.parquet(*tail).count() if tail else 0
+        tail_rows = self._read(state, tail).count() if tail else 0
         matched = self._hits(query, "none", "global", 1.0)[0].count()
-        return SearchStats(len(touched), blocks, self.spark.read.parquet(*state["files"]).count(), scanned, tail_rows, len(tail), matched, int(1000 * (time.time() - start)))
+        return SearchStats(len(touched), blocks, self._read(state, state["files"]).count(), scanned, tail_rows, len(tail), matched, int(1000 * (time.time() - start)))
 
     # maintenance
 
@@ -362,7 +394,11 @@ class SearchTable:
                     return None
                 return state | {"segments": [s for s in state["segments"] if s["path"] not in gone] + new}
 
-            self._change(change)
+            named = {s["path"] for s in self._change(change)["segments"]}
+            if not {s["path"] for s in new} <= named or gone & named:  # another writer was first: nothing was merged, and what was written for it goes
+                for s in new:
+                    self.store.delete(s["path"])
+                return CompactResult(0, 0, 0)
             created = new
         return CompactResult(len(merged), len(created), stale)
 

@@ -163,6 +163,79 @@ def test_commits_are_exclusive(spark, tmp_path):
     assert s.read("a") == "1"
 
 
+def test_half_written_versions_are_passed_over(table, write_parquet):
+    t = table(write_parquet("a", 10, ["error here"]))
+    stream = t.store._fs.create(t.store._path("metadata/v99.json"), False)
+    stream.close()
+    assert t.search(q("error")).count() == 10
+    t.add_index("id2")
+    assert t.columns() == ["description", "id2"] and t.log.version() == 100
+    assert not [n for n in t.store.names("metadata") if n.endswith(".part")]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    SearchTable.create(spark, f"file://{tmp_path}/t", "t", str(tmp_path), [])
+    tables = [SearchTable(spark, f"file://{tmp_path}/t") for _ in range(4)]
+    threads = [threading.Thread(target=t.add_index, args=(f"c{k}",)) for k, t in enumerate(tables)]
+    [x.start() for x in threads], [x.join() for x in threads]
+    assert sorted(tables[0].columns()) == ["c0", "c1", "c2", "c3"]
+
+
+def test_files_with_other_columns(spark, table, write_parquet, tmp_path):
+    spark.createDataFrame([(1, "x")], "id int, other string").coalesce(1).write.parquet(f"{tmp_path}/other")
+    other = spark.read.parquet(f"{tmp_path}/other").inputFiles()
+    t = table(write_parquet("a", 10, ["error here"]))
+    t.register_files(other)
+    assert t.search(q("error"), ["*"]).columns == ["text", "id", "other"] and t.search(q("error")).count() == 10
+    assert t.search(Match("other", "x"), ["id"]).count() == 1
+    t.index()
+    assert t.search(q("error"), score="all").count() == 10
+
+
+def test_a_lost_compaction_reports_nothing(table, write_parquet, monkeypatch):
+    files = [write_parquet(f"f{k}", 10, ["error here"]) for k in range(4)]
+    t = table(files[0], block_rows=1000)
+    for f in files[1:]:
+        t.index(files=[f])
+    inner = t._write
+
+    def late(*a):
+        out = inner(*a)
+        assert len(t.store.names("segments")) == 5
+        SearchTable(t.spark, t.root).drop_index("description")
+        return out
+
+    monkeypatch.setattr(t, "_write", late)
+    result = t.compact("description")
+    assert (result.segments_merged, result.segments_created) == (0, 0) and len(t.store.names("segments")) == 4
+
+
+def test_a_replayed_batch(spark, table, write_parquet, tmp_path):
+    t = table(columns=["description"])
+    for text in ("first try", "second try"):
+        spark.createDataFrame([(1, text)], "id int, description string").write.parquet(f"{tmp_path}/batch-0/{text[0]}")
+        files = t.replace_files(f"{tmp_path}/batch-0", spark.read.parquet(f"{tmp_path}/batch-0/{text[0]}").inputFiles())
+        t.index(files=files)
+    assert [r.text for r in t.search(q("try")).collect()] == ["second try"] and t.search(q("first")).count() == 0
+
+
+def test_wide_wildcards_fail_in_a_search(spark, table, tmp_path):
+    spark.createDataFrame([(i, f"x{i}") for i in range(1100)], "id int, description string").coalesce(1).write.parquet(f"{tmp_path}/wide")
+    t = table(*spark.read.parquet(f"{tmp_path}/wide").inputFiles())
+    for text in ("x*", "*1 x*"):
+        with pytest.raises(ValueError, match="1024"):
+            t.search(q(text))
+    assert t.search(q("*99")).count() == 11 and t.search(q("x109*")).count() == 11
+
+
+def test_many_files_in_the_state(table, monkeypatch):
+    t = table()
+    many = [f"file:///data/f{k}.parquet" for k in range(100_000)]
+    t.log.commit(lambda state: state | {"files": many})
+    by_column, indexed, tail = t._cover(t.state(), q("x"))
+    assert indexed == [] and len(tail) == 100_000
+
+
 def test_http(spark, table, write_parquet):
     from lodetext.server import Searches, http_server
 

@@ -40,6 +40,31 @@ def test_column_and_python_agree(spark, texts):
     assert all(r.k == tokenize(r.t) for r in rows)
 
 
+def test_all_scripts_agree(spark):
+    """Query text and data are split alike, for words with marks of every script and for normal forms."""
+    import unicodedata
+
+    words = ["भाषा", "हिन्दी", "Ⓐ", "தமிழ்", "ไทย", "עִבְרִית", "العربيّة", "e\u0301te\u0301", "İstanbul", "ΟΔΟΣ", "½", "Ⅷ", "a\u2014b", "한글", "각", "\u212bngstrom", "x\u0345y"]
+    for block in range(0x300, 0x3000, 7):
+        if unicodedata.category(chr(block)) != "Cn":
+            words.append(f"a{chr(block)}b {chr(block)}")
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select("t", tokens(F.col("t")).alias("k")).collect()
+    assert [r.t for r in rows if r.k != tokenize(r.t)] == []
+    from lodetext.operators import scan_search as S
+
+    docs = spark.createDataFrame([(w,) for w in words], "t string")
+    assert all(S.search(docs, Q.Match("t", w)).count() >= 1 for w in ("भाषा", "हिन्दी", "Ⓐ", "été"))
+
+
+def test_texts_are_split_once(spark):
+    from lodetext.operators import scan_search as S
+
+    docs = spark.createDataFrame([("a b",)], "t string")
+    hits = S.search(docs, Q.Match("t", "a b c d e f"), scored=True)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(_lt_low0") == 1 and hits.columns == ["t", "score"]
+
+
 def test_wildcards():
     assert parse_terms("Foo* *bar baz qux_1") == [Term("foo", "prefix"), Term("bar", "suffix"), Term("baz"), Term("qux"), Term("1")]
     for bad in ("*", "a*b", "*a*", "a_b*", "**a", "-*"):
