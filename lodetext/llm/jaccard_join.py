@@ -488,6 +488,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     least = labels.join(reps.select(F.col("fp").alias("node"), "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
     linked = labels.join(least, "component").select(F.col("node").alias("fp"), "least")
     by_class = reps.select("fp", "doc").join(linked, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "doc").alias("component_id"))
+    by_class = shared.save(by_class, "by-class")  # so that the join below has nothing but exchanges beneath it and large groups of copies can be split
     found = classes.join(by_class, (F.col("fp") == F.col("_fp")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
