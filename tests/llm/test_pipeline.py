@@ -40,3 +40,31 @@ def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_awkward_rows(spark, awkward, tmp_path):
+    """Rows of one doc_id and text count once, those of one doc_id and different texts stay together; clashing and null columns, very long texts and a null doc_id pass."""
+    docs = awkward.withColumn("N_Lines", awkward.doc_id)
+    items = spark.createDataFrame([(1, "no benchmark passage that any document holds in its text at all here")], "item_id long, text string")
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        columns, docs = docs.columns, spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or docs.columns == columns
+        kept[name] = sorted(r.doc_id or 0 for r in docs.collect())
+    assert kept["language ID"] == [0, 3, 4, 4, 5, 5] and kept["n-gram Jaccard join"] == kept["benchmark decontamination"] == [0, 3, 4, 5, 5]
+    assert set(kept["packing"]) == {0, 3, 4, 5}
+
+
+def test_tables_of_others_stay(spark, docs, tmp_path):
+    """A packing result that is still unread can be read after a pipeline run over another folder."""
+    from lodetext.llm import packing
+
+    table = docs(["some words to pack"] * 3)
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    mine = packing.pack(table)
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 1
+    assert mine.select("doc_id").distinct().count() == 3
