@@ -4,7 +4,10 @@ Text is normalised to lower-case words of letters and digits. Units are a docume
 2 c / (a + b), is at least THRESHOLD. Since c is no larger than a or b, only units with a between b t / (2 - t) and b (2 - t) / t are compared (size bounds). Before that, documents are read for anchor
 words: a unit that lacks all of a template's anchors lacks so many of its bigrams that it can't reach t / (2 - t) of them, so documents without any anchor are passed over.
 
-Defined cases: null and empty texts match nothing; a null doc_id gives rows like any other; repeated rows give repeated rows; a document of one line gives a row for the line and one for the document; other
+A licence within a longer document is neither a line nor the document: for templates of WINDOWED words or more, windows of the template's length at every STEPS-th part of it are units as well, and of each document
+(by doc_id) and template the best window is given, the first of equal ones. A whole copy is at most a sixteenth out of step with a window.
+
+Defined cases: null and empty texts match nothing; a null doc_id gives rows like any other; repeated rows give repeated rows, but one best window together; a document of one line gives a row for the line and one for the document; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -15,9 +18,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodetext.functions.tokenizer import computed_once
 from lodetext.llm import shared
 
 THRESHOLD = 0.8
+#: Templates of so many words are also looked for within documents, by windows of their length that begin at every STEPS-th part of it.
+WINDOWED, STEPS = 30, 8
 
 #: Licence, and a text of it: notices, and short licences whole.
 TEMPLATES = [
@@ -32,6 +38,10 @@ TEMPLATES = [
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
 
@@ -56,26 +66,48 @@ def anchors(text: str, threshold: float) -> list[str]:
     return out
 
 
+def _dice(a: F.Column, b: F.Column) -> F.Column:
+    return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+
+
+def _pairs(w: F.Column) -> F.Column:
+    return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each match: doc_id, unit ("line" or "document"), line (from 0; -1 for documents), license, template (from 0), dice."""
-    low = F.lower("text")
+    """A row for each match: doc_id, unit ("line", "document" or "window"), line (from 0; -1 for documents; of windows the first word), license, template (from 0), dice."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    low = computed_once(text, {"low": F.lower("text")})
     any_anchor = F.lit(False)
     for w in sorted({w for _, text in templates for w in anchors(text, threshold)}):
-        any_anchor = any_anchor | F.contains(low, F.lit(w))
+        any_anchor = any_anchor | F.contains("low", F.lit(w))
+    clean = F.trim(F.regexp_replace(F.regexp_replace("low", r"[^\p{L}\p{N}\n]+", " "), r" *\n *", "\n"))
+    lines = computed_once(low.where(any_anchor).select("doc_id", "low"), {"clean": clean}).select("doc_id", "clean")
+
     known = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(_bigrams(text)).alias("bigrams")) for k, (name, text) in enumerate(templates)])
-    clean = F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}\n]+", " "), r" *\n *", "\n"))
-    lines = docs.where(any_anchor).select(F.col("doc_id").cast("long").alias("doc_id"), clean.alias("clean"))
-    split = lines.select("doc_id", "clean", F.posexplode(F.concat(F.array(F.regexp_replace("clean", "\n+", " ")), F.split("clean", "\n"))))
+    split = lines.select("doc_id", F.posexplode(F.concat(F.array(F.regexp_replace("clean", "\n+", " ")), F.split("clean", "\n"))))
     words = F.filter(F.split("col", " "), lambda w: w != "")
-    units = split.select("doc_id", (F.col("pos") - 1).alias("line"), words.alias("w"))
-    pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    sized = units.where(F.size("w") > 1).select("doc_id", "line", pairs.alias("a"))
+    units = computed_once(split, {"w": words}).select("doc_id", (F.col("pos") - 1).alias("line"), "w")
+    sized = computed_once(units.where(F.size("w") > 1), {"a": _pairs(F.col("w"))}).select("doc_id", "line", "a")
     share = threshold / (2 - threshold)
     near = F.filter(known, lambda t: (F.size("a") >= F.size(t["bigrams"]) * share) & (F.size("a") * share <= F.size(t["bigrams"])))
     both = sized.select("doc_id", "line", "a", F.explode(near).alias("t"))
-    dice = 2.0 * F.size(F.array_intersect("a", "t.bigrams")) / (F.size("a") + F.size("t.bigrams"))
     unit = F.when(F.col("line") < 0, "document").otherwise("line")
-    return both.select("doc_id", unit.alias("unit"), F.col("line").cast("long").alias("line"), F.col("t.license").alias("license"), F.col("t.template").cast("long").alias("template"), dice.alias("dice")).where(F.col("dice") >= threshold)
+    whole = both.select("doc_id", unit.alias("unit"), F.col("line").cast("long").alias("line"), F.col("t.license").alias("license"), F.col("t.template").cast("long").alias("template"), _dice(F.col("a"), F.col("t.bigrams")).alias("dice")).where(F.col("dice") >= threshold)
+
+    # long templates within longer documents: of each, the best window
+    found = whole
+    for size in sorted({len(_words(text)) for _, text in templates if len(_words(text)) >= WINDOWED}):
+        mine = [(k, name, text) for k, (name, text) in enumerate(templates) if len(_words(text)) == size]
+        kinds = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(_bigrams(text)).alias("bigrams")) for k, name, text in mine])
+        has_anchor = F.arrays_overlap("w", F.lit(sorted({w for _, _, text in mine for w in anchors(text, threshold)})))
+        starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(size // STEPS))
+        cut = units.where((F.col("line") < 0) & (F.size("w") > size) & has_anchor).select("doc_id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, F.lit(size)).alias("w")))).alias("c"))
+        cut = computed_once(cut.where(F.size("c.w") > 1), {"a": _pairs(F.col("c.w"))}).select("doc_id", F.col("c.start").cast("long").alias("line"), "a", F.explode(kinds).alias("t"))
+        scored = cut.select("doc_id", "line", F.col("t.license").alias("license"), F.col("t.template").cast("long").alias("template"), _dice(F.col("a"), F.col("t.bigrams")).alias("dice")).where(F.col("dice") >= threshold)
+        best = scored.groupBy("doc_id", "template", "license").agg(F.min_by("line", F.struct(-F.col("dice"), F.col("line"))).alias("line"), F.max("dice").alias("dice"))
+        found = found.unionByName(best.withColumn("unit", F.lit("window")))
+    return found.select("doc_id", "unit", "line", "license", "template", "dice")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +130,14 @@ ub AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambd
 d AS (SELECT doc_id, line, license, template, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
       FROM ub JOIN tb ON len(a) >= len(b) * {THRESHOLD / (2 - THRESHOLD)} AND len(a) * {THRESHOLD / (2 - THRESHOLD)} <= len(b))
 SELECT doc_id, CASE WHEN line < 0 THEN 'document' ELSE 'line' END AS unit, line::BIGINT AS line, license, template::BIGINT AS template, dice::DOUBLE AS dice FROM d WHERE dice >= {THRESHOLD}
+UNION ALL
+SELECT doc_id, 'window' AS unit, arg_min(line, (-dice, line))::BIGINT AS line, license, template::BIGINT AS template, max(dice)::DOUBLE AS dice
+FROM (SELECT doc_id, line, license, template, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
+      FROM (SELECT doc_id, line, license, template, list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS a, b
+            FROM (SELECT doc_id, license, template, b, s AS line, w[s + 1 : s + size] AS x
+                  FROM (SELECT doc_id, tw.license, tw.template, uw.w, len(tw.w) AS size, b, unnest(range(0, len(uw.w), len(tw.w) // {STEPS})) AS s
+                        FROM uw JOIN tw ON line = -1 AND len(tw.w) >= {WINDOWED} AND len(uw.w) > len(tw.w) JOIN tb ON tb.template = tw.template
+                        WHERE list_has_any(uw.w, ['license', 'licensed', 'software', 'permission', 'warranty', 'mozilla', 'redistribution'])))
+            WHERE len(x) > 1))
+WHERE dice >= {THRESHOLD} GROUP BY doc_id, license, template
 """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -202,6 +203,34 @@ def byte_batches(batches: Iterable, columns: list[str], most: int = 1 << 21, kee
     import pyarrow as pa
 
     drop_caches(keep)
+    try:
+        yield from _byte_batches(batches, columns, most)
+    finally:
+        trim()
+
+
+@functools.lru_cache(maxsize=1)
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives what a task has freed back to the system: a Python worker that waits for its next task holds little."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def _byte_batches(batches: Iterable, columns: list[str], most: int) -> Iterator[list]:
+    import pyarrow as pa
+
     for b in batches:
         texts = b.column(columns[-1]).cast(pa.binary()).to_pylist()
         others = [b.column(c).to_pylist() for c in columns[:-1]]

@@ -719,3 +719,14 @@ def test_queries_have_names_and_oracles():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.oracle_sql()) == {n for n in queries.queries() if n.split("_")[0] in ("op1", "op2", "op7", "op9")}
     assert json.dumps(queries.oracle_sql())
+
+
+def test_licences_within_larger_documents(docs):
+    import textwrap
+
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 200)
+    rng = random.Random(3)
+    code = "\n".join(f"x{k} = {prose(6, rng)}" for k in range(120))
+    rows = [(1, "\n".join(textwrap.wrap(mit, 76)) + "\n\n" + code), (2, code + "\n" + mit.replace("\n", " ").replace("copies", "copy")), (3, code)]
+    got = {(r.doc_id, r.unit, r.license) for r in license_scan.scan(docs(rows)).collect()}
+    assert {(1, "window", "MIT"), (2, "window", "MIT"), (2, "line", "MIT")} <= got and all(d != 3 for d, _, _ in got)
