@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodetext.functions.tokenizer import computed_once
@@ -66,10 +66,6 @@ def anchors(text: str, threshold: float) -> list[str]:
     return out
 
 
-def _dice(a: F.Column, b: F.Column) -> F.Column:
-    return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
-
-
 def _pairs(w: F.Column) -> F.Column:
     return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
@@ -82,32 +78,31 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     for w in sorted({w for _, text in templates for w in anchors(text, threshold)}):
         any_anchor = any_anchor | F.contains("low", F.lit(w))
     clean = F.trim(F.regexp_replace(F.regexp_replace("low", r"[^\p{L}\p{N}\n]+", " "), r" *\n *", "\n"))
-    lines = computed_once(low.where(any_anchor).select("doc_id", "low"), {"clean": clean}).select("doc_id", "clean")
+    cleaned = computed_once(low.where(any_anchor).select("doc_id", "low"), {"clean": clean})
+    split = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    docs_words = computed_once(cleaned, {"w": split(F.regexp_replace("clean", "\n+", " "))})
+
+    # all units of a document at once: the whole, its lines, and for each length of long templates that may be in it the windows (size: that length)
+    unit = lambda size, line, w: F.struct(F.lit(size).alias("size"), F.lit(line).cast("int").alias("line"), w.alias("w"))
+    units = [F.array(unit(0, -1, F.col("w"))), F.transform(F.split("clean", "\n"), lambda x, i: unit(0, i, split(x)))]
+    sizes = sorted({len(_words(text)) for _, text in templates if len(_words(text)) >= WINDOWED})
+    for size in sizes:
+        may_hold = F.arrays_overlap("w", F.lit(sorted({w for _, text in templates if len(_words(text)) == size for w in anchors(text, threshold)})))
+        starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(size // STEPS))
+        windows = F.transform(starts, lambda s, size=size: unit(size, s, F.slice("w", s + 1, F.lit(size))))
+        units.append(F.when((F.size("w") > size) & may_hold, windows).otherwise(F.slice(units[0], F.lit(1), F.lit(0))))
+    each = docs_words.select("doc_id", F.explode(F.concat(*units)).alias("u")).where(F.size("u.w") > 1)
+    sized = computed_once(each, {"a": _pairs(F.col("u.w"))}).select("doc_id", F.col("u.size").alias("size"), F.col("u.line").cast("long").alias("line"), "a")
 
-    known = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(_bigrams(text)).alias("bigrams")) for k, (name, text) in enumerate(templates)])
-    split = lines.select("doc_id", F.posexplode(F.concat(F.array(F.regexp_replace("clean", "\n+", " ")), F.split("clean", "\n"))))
-    words = F.filter(F.split("col", " "), lambda w: w != "")
-    units = computed_once(split, {"w": words}).select("doc_id", (F.col("pos") - 1).alias("line"), "w")
-    sized = computed_once(units.where(F.size("w") > 1), {"a": _pairs(F.col("w"))}).select("doc_id", "line", "a")
+    known = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(len(_words(text))).alias("size"), F.lit(_bigrams(text)).alias("bigrams")) for k, (name, text) in enumerate(templates)])
     share = threshold / (2 - threshold)
-    near = F.filter(known, lambda t: (F.size("a") >= F.size(t["bigrams"]) * share) & (F.size("a") * share <= F.size(t["bigrams"])))
-    both = sized.select("doc_id", "line", "a", F.explode(near).alias("t"))
-    unit = F.when(F.col("line") < 0, "document").otherwise("line")
-    whole = both.select("doc_id", unit.alias("unit"), F.col("line").cast("long").alias("line"), F.col("t.license").alias("license"), F.col("t.template").cast("long").alias("template"), _dice(F.col("a"), F.col("t.bigrams")).alias("dice")).where(F.col("dice") >= threshold)
-
-    # long templates within longer documents: of each, the best window
-    found = whole
-    for size in sorted({len(_words(text)) for _, text in templates if len(_words(text)) >= WINDOWED}):
-        mine = [(k, name, text) for k, (name, text) in enumerate(templates) if len(_words(text)) == size]
-        kinds = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(_bigrams(text)).alias("bigrams")) for k, name, text in mine])
-        has_anchor = F.arrays_overlap("w", F.lit(sorted({w for _, _, text in mine for w in anchors(text, threshold)})))
-        starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(size // STEPS))
-        cut = units.where((F.col("line") < 0) & (F.size("w") > size) & has_anchor).select("doc_id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, F.lit(size)).alias("w")))).alias("c"))
-        cut = computed_once(cut.where(F.size("c.w") > 1), {"a": _pairs(F.col("c.w"))}).select("doc_id", F.col("c.start").cast("long").alias("line"), "a", F.explode(kinds).alias("t"))
-        scored = cut.select("doc_id", "line", F.col("t.license").alias("license"), F.col("t.template").cast("long").alias("template"), _dice(F.col("a"), F.col("t.bigrams")).alias("dice")).where(F.col("dice") >= threshold)
-        best = scored.groupBy("doc_id", "template", "license").agg(F.min_by("line", F.struct(-F.col("dice"), F.col("line"))).alias("line"), F.max("dice").alias("dice"))
-        found = found.unionByName(best.withColumn("unit", F.lit("window")))
-    return found.select("doc_id", "unit", "line", "license", "template", "dice")
+    near = F.filter(known, lambda t: ((F.col("size") == 0) | (F.col("size") == t["size"])) & (F.size("a") >= F.size(t["bigrams"]) * share) & (F.size("a") * share <= F.size(t["bigrams"])))
+    both = sized.select("doc_id", "size", "line", "a", F.explode(near).alias("t"))
+    kind = F.when(F.col("size") > 0, "window").when(F.col("line") < 0, "document").otherwise("line")
+    dice = 2.0 * F.size(F.array_intersect("a", "t.bigrams")) / (F.size("a") + F.size("t.bigrams"))
+    found = both.select("doc_id", kind.alias("unit"), "line", F.col("t.license").alias("license"), F.col("t.template").cast("long").alias("template"), dice.alias("dice")).where(F.col("dice") >= threshold)
+    place = F.row_number().over(Window.partitionBy("doc_id", "unit", "template").orderBy(F.desc("dice"), "line"))  # only matches are moved
+    return found.withColumn("place", place).where("unit <> 'window' or place = 1").drop("place")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
