@@ -66,6 +66,10 @@ def anchors(text: str, threshold: float) -> list[str]:
     return out
 
 
+def _window(unit, size: int):
+    return lambda s: unit(size, s, F.slice("w", s + 1, F.lit(size)))  # a second parameter would be taken for the index
+
+
 def _pairs(w: F.Column) -> F.Column:
     return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
@@ -89,7 +93,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     for size in sizes:
         may_hold = F.arrays_overlap("w", F.lit(sorted({w for _, text in templates if len(_words(text)) == size for w in anchors(text, threshold)})))
         starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(size // STEPS))
-        windows = F.transform(starts, lambda s, size=size: unit(size, s, F.slice("w", s + 1, F.lit(size))))
+        windows = F.transform(starts, _window(unit, size))
         units.append(F.when((F.size("w") > size) & may_hold, windows).otherwise(F.slice(units[0], F.lit(1), F.lit(0))))
     each = docs_words.select("doc_id", F.explode(F.concat(*units)).alias("u")).where(F.size("u.w") > 1)
     sized = computed_once(each, {"a": _pairs(F.col("u.w"))}).select("doc_id", F.col("u.size").alias("size"), F.col("u.line").cast("long").alias("line"), "a")
