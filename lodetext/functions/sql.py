@@ -1,4 +1,4 @@
-"""The engine's functions for SQL: lt_tokenize, lt_match_any, lt_match_all and lt_bm25, as SQL functions over built-in expressions."""
+"""The engine's functions for SQL: lt_tokenize, lt_match_any, lt_match_all and lt_bm25, as SQL functions over built-in expressions, and searches as table functions."""
 
 from __future__ import annotations
 
@@ -21,6 +21,19 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
 
 
+def register_table_function(spark: SparkSession, name: str, rows, column: str = "text") -> None:
+    """name(query, operator) in FROM: the rows (of a DataFrame) whose column holds any ('or') or all ('and') words of the query.
+
+    A SQL function that Catalyst inlines: filters and columns of the statement around it reach the scan. It reads no index, so it is complete whatever is indexed.
+    """
+    register(spark)
+    rows.createOrReplaceTempView(f"{name}_rows")
+    listed = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema.fields)
+    found = ", ".join(f"d.`{c}`" for c in rows.columns)
+    test = f"if({name}.operator = 'and', lt_match_all(d.`{column}`, {name}.query), lt_match_any(d.`{column}`, {name}.query))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING, operator STRING) RETURNS TABLE({listed}) RETURN SELECT {found} FROM {name}_rows d WHERE {test}")
+
+
 def register_search(spark: SparkSession, name: str, hits) -> None:
     """A search result as a view, so that SQL can join, group and rank it."""
     hits.createOrReplaceTempView(name)

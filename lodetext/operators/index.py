@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from lodetext.functions.tokenizer import TOKENIZERS, tokens, with_tokens
 
 BLOCK_ROWS = 1000
+#: A segment's tables are cut into ranges of about so many bytes; what a posting takes at most once its columns are encoded.
+RANGE_BYTES, POSTING_BYTES = 256 << 20, 8
 
 
 def located(spark: SparkSession, files: list[str], columns: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
@@ -42,15 +44,25 @@ def term_stats(found: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.sum("row_hits").alias("df"))
 
 
+def ranged(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Sorted disjoint ranges of the keys: as many as rows need by RANGE_BYTES, where that is more than there are shuffle partitions."""
+    n = -(-rows * POSTING_BYTES // RANGE_BYTES)
+    few = n <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # without a number, small ranges are joined
+    return (df.repartitionByRange(*keys) if few else df.repartitionByRange(n, *keys)).sortWithinPartitions(*keys)
+
+
 def write_segment(found: DataFrame, in_blocks: DataFrame, path: str) -> dict:
-    """Writes the tables of one segment, sorted by term for min/max pruning (and by reversed term for suffixes); returns its totals."""
+    """Writes the tables of one segment, sorted by term for min/max pruning (and by reversed term for suffixes); returns its totals.
+
+    Postings are cut by term, file and block, so that a term in every block is dealt over ranges like any other.
+    """
     spark = found.sparkSession
-    found.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
     in_blocks.write.parquet(f"{path}/blocks")
+    b = spark.read.parquet(f"{path}/blocks").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    ranged(found, b[1], "term", "file", "block").write.parquet(f"{path}/postings")
     saved = spark.read.parquet(f"{path}/postings")
     stats = term_stats(saved).withColumn("reversed", F.reverse("term"))
-    stats.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    stats.repartitionByRange("reversed").sortWithinPartitions("reversed").write.parquet(f"{path}/suffixes")
+    ranged(stats, 0, "term").write.parquet(f"{path}/terms")
+    ranged(stats, 0, "reversed").write.parquet(f"{path}/suffixes")
     t = spark.read.parquet(f"{path}/terms").agg(F.min("term"), F.max("term"), F.count(F.lit(1))).first()
-    b = spark.read.parquet(f"{path}/blocks").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     return {"min_term": t[0], "max_term": t[1], "term_count": t[2], "total_rows": b[0], "total_tokens": b[1]}

@@ -178,6 +178,15 @@ def sql_functions(spark, d):
     return spark.sql("SELECT doc_id FROM lt_documents WHERE lt_match_all(text, 'the of')")
 
 
+def sql_table_function(spark, d):
+    """A search in FROM, joined and filtered by the statement around it."""
+    from lodetext.functions.sql import register_table_function
+
+    register_table_function(spark, "lt_search_documents", _read(spark, d, "documents"))
+    _read(spark, d, "labels").createOrReplaceTempView("lt_labels")
+    return spark.sql("SELECT s.doc_id, l.quality FROM lt_search_documents('leaux queeux', 'or') s JOIN lt_labels l ON s.doc_id = l.doc_id WHERE s.n_chars > 200")
+
+
 def posting_difference(spark, d):
     """Blocks with a term of which the other, rarer term is in none."""
     found = _postings(spark, d)
@@ -362,6 +371,7 @@ QUERIES = {
     "conversation_search": lambda spark, d: S.search(_read(spark, d, "conversations"), M("text", "the of", "and")).select("conv_id", "turn"),
     "page_search": lambda spark, d: S.search(_read(spark, d, "pages"), M("html", "nicht")).select("page_id"),
     "sql_functions": sql_functions,
+    "sql_table_function": sql_table_function,
     "indexed_suffix": _indexed(M("text", "*eaux")),
     "search_indic": search_indic,
     "compacted_search": compacted_search,
@@ -452,6 +462,7 @@ ORACLE = {
     "conversation_search": f"WITH tok AS (SELECT *, {_t('text')} AS tk FROM conversations) SELECT conv_id, turn FROM tok WHERE list_contains(tk, 'the') AND list_contains(tk, 'of')",
     "page_search": f"WITH tok AS (SELECT *, {_t('html')} AS tk FROM pages) SELECT page_id FROM tok WHERE {_has('nicht')}",
     "sql_functions": _AND,
+    "sql_table_function": f"WITH {_DOCS} SELECT doc_id, quality FROM tok JOIN labels USING (doc_id) WHERE ({_has('leaux', 'queeux')}) AND n_chars > 200",
     "indexed_suffix": f"WITH {_DOCS} SELECT doc_id FROM tok WHERE len(list_filter(tk, lambda x: ends_with(x, 'eaux'))) > 0",
     "search_indic": "SELECT id::BIGINT AS id FROM (VALUES (1), (2), (4), (5)) t(id)",
     "compacted_search": _bm25(_THREE),

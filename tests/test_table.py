@@ -298,3 +298,27 @@ def test_streams(spark, write_parquet, tmp_path):
     t = SearchTable.create(spark, f"file://{tmp_path}/t", "s", f"file://{tmp_path}/data", ["description"])
     index_arrivals(stream, t, f"file://{tmp_path}/cp").awaitTermination()
     assert t.search(q("error")).count() == 2 and t.search_stats(q("error")).unindexed_files_scanned == 0
+
+
+def test_table_function(spark):
+    from lodetext.functions.sql import register_table_function
+
+    rows = spark.createDataFrame([(1, "one two", 5), (2, "Two three", 6), (3, None, 7), (4, "", 8)], "id long, text string, query int")
+    register_table_function(spark, "lt_some", rows)
+    found = lambda q: [tuple(r) for r in spark.sql(q).orderBy("id").collect()]
+    assert found("SELECT id, query FROM lt_some('two', 'or')") == [(1, 5), (2, 6)]
+    assert found("SELECT id FROM lt_some('three TWO', 'and')") == [(2,)]
+    assert found("SELECT id FROM lt_some('', 'and') UNION ALL SELECT id FROM lt_some('', 'or')") == []
+
+
+def test_ranges_by_size(spark, monkeypatch):
+    """A term that is in most blocks is dealt over several ranges; all ranges are disjoint and sorted."""
+    from lodetext.operators import index as I
+
+    monkeypatch.setattr(I, "RANGE_BYTES", 400)
+    rows = spark.range(600).selectExpr("if(id % 3 = 0, concat('w', id), 'the') AS term", "'f' AS file", "id AS block", "1L AS row_hits")
+    parts = I.ranged(rows, 600, "term", "file", "block").rdd.mapPartitions(lambda p: [[(r.term, r.file, r.block) for r in p]]).collect()
+    parts = sorted(p for p in parts if p)
+    assert len(parts) > 8 and sum(map(len, parts)) == 600
+    assert [x for p in parts for x in p] == sorted(x for p in parts for x in p)
+    assert sum(any(t == "the" for t, _, _ in p) for p in parts) > 1
