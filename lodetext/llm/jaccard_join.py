@@ -9,7 +9,12 @@ number by size zones that overlap by the size ratio 1/t). What shares an index e
 Copies: documents with one set are one class (a 64-bit fingerprint of the set), and only classes are joined. Pairs: each entry links its
 members to its first one, in one of ORDERS orders by hash (entries of very frequent shingles by way of salted smaller ones). Then pairs of one entry that still lie in different
 components are taken as well. Parity bits, which each class keeps (two bits a shingle), bound the difference of two sets from below, so most pairs that aren't similar go before whole sets
-are compared. So every link between different sets is either found or lies within one component, and large groups of near copies cost pairs in proportion to their size.
+are compared. So every link between different sets is either found or lies within one component.
+
+Which entry makes an open pair: two similar sets have nothing in common before their first common shingle, so there the shingles from it on must be enough
+for both, and the smaller set has it in the first ninth of its shingles (at 80 per cent). Only such members of an entry look for larger ones, and an entry leaves out pairs that have met
+in an earlier one, as far as the first HEADS open entries of both tell. So a pair is made about once, however many entries it shares. The number of pairs is still that
+of dissimilar sets with a common entry that neither bound tells apart, which grows faster than the table where groups of half-similar documents do.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; a text with fewer words than a shingle has
 its whole sequence as one; a null doc_id is linked with nothing and has a null component; rows with one doc_id are one node; other columns are
@@ -24,7 +29,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +51,10 @@ FILTER_SHARE, FILTER_BITS = 16, (16, 30)
 SHORT = 8
 #: Open entries with more members than this are dealt to several tasks.
 OPEN_MEMBERS = 2048
+#: So many of a class's first open entries tell whether two classes have met before; fewer only repeat pairs.
+HEADS = 8
+#: Places in a set's order, rounded down to one of these (exact below 25, then within 4 per cent); the code after the last stands for entries of frequent pairs.
+PLACES = np.unique(np.floor(np.concatenate((np.arange(25), 25 * 1.04 ** np.arange(230)))).astype(np.int64))[:255]
 #: Bytes of text whose words are hashed at once.
 BATCH = 1 << 20
 
@@ -188,24 +197,26 @@ def frequency_levels(counts: np.ndarray) -> np.ndarray:
 # Pass B: index entries ------------------------------------------------------
 
 
-def signatures(s: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entry hash, level) of the index entries of one set; level: of each shingle of s."""
+def signatures(s: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry hash, level, place in the set's order or -1 for a pair of frequent shingles) of the index entries of one set; level: of each shingle of s."""
     n = len(s)
     tau = n - -(-percent * n // 100)
     order = np.lexsort((s, level))
     s, level = s[order], level[order]
-    out, levels = [], []
+    out, levels, places = [], [], []
     for zone, (least, below, groups) in enumerate(ZONES):
         if not least <= n < below:
             continue
         if not groups:
             out.append(s[: tau + 1])
             levels.append(level[: tau + 1])
+            places.append(np.arange(tau + 1))
             continue
         rare = int(np.searchsorted(level, FREQUENT))
         if rare > tau:
             out.append(s[: tau + 1])
             levels.append(level[: tau + 1])
+            places.append(np.arange(tau + 1))
             continue
         group = (s[rare:] >> np.uint64(8)).astype(np.int64) % groups
         _, first = np.unique(group, return_index=True)
@@ -214,6 +225,7 @@ def signatures(s: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarr
         end = int(np.searchsorted(rare + np.cumsum(adds), tau + 1)) + 1
         out.append(s[:rare])
         levels.append(level[:rare])
+        places.append(np.arange(rare))
         by = np.argsort(group[:end], kind="stable")
         members, of, lv = s[rare:][:end][by], group[:end][by], level[rare:][:end][by]
         begin = np.flatnonzero(np.diff(of, prepend=-1))
@@ -223,10 +235,26 @@ def signatures(s: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarr
             lo, hi = np.minimum(x, y), np.maximum(x, y)
             out.append(shared.mix(lo * _MULTIPLIERS[1] + shared.mix(hi + np.uint64(zone))))
             levels.append(np.minimum(lv[a:b][i], lv[a:b][j]))
+            places.append(np.full(len(i), -1))
     if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.uint8)
+        return np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64)
     sig, first = np.unique(np.concatenate(out), return_index=True)
-    return sig, np.concatenate(levels)[first]
+    return sig, np.concatenate(levels)[first], np.concatenate(places)[first]
+
+
+def size_and_place(n: int, places: np.ndarray) -> np.ndarray:
+    """n and a code of each place in one integer."""
+    code = np.where(places < 0, len(PLACES), np.searchsorted(PLACES, places, "right") - 1)
+    return (n << 8) + code
+
+
+def _size(x: np.ndarray) -> np.ndarray:
+    return (x >> 8).astype(np.int32)
+
+
+def _place(x: np.ndarray) -> np.ndarray:
+    """The rounded place, -1 for pairs of frequent shingles."""
+    return np.append(PLACES, -1)[x & 255].astype(np.int32)
 
 
 def _index(width: int, percent: int, levels):
@@ -235,21 +263,21 @@ def _index(width: int, percent: int, levels):
         seen = _Seen()
         with np.errstate(over="ignore"):
             for _, texts in shared.byte_batches(batches, ["doc_id", "text"], BATCH):
-                sig, fps, ns, salts = [], [], [], []
+                sig, fps, sizes, salts = [], [], [], []
                 for s in shingle_sets(texts, width):
                     fp = _fingerprint(s)
                     if len(s) < 4 or not seen.add(fp):  # smaller sets are similar to equal ones only
                         continue
-                    t, lv = signatures(s, table[_cells(s)], percent)
+                    t, lv, places = signatures(s, table[_cells(s)], percent)
                     sig.append(t)
                     fps.append(fp)
-                    ns.append(len(s))
+                    sizes.append(size_and_place(len(s), places))
                     salts.append(np.where(lv >= SALT_FROM, 1 + (fp & 0x7FFFFFFF) % (1 << np.maximum(lv.astype(np.int64) - SALT_FROM + 1, 0)), 0))
                 if sig:
                     times = [len(t) for t in sig]
                     sigs = np.concatenate(sig)
                     place = shared.mix(np.repeat(np.array(fps, np.int64), times).view(np.uint64) ^ _order_key(sigs))
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(place.view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), times))], names=["sig", "salt", "place", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(place.view(np.int64)), pa.array(np.concatenate(sizes))], names=["sig", "salt", "place", "size"])
 
     return run
 
@@ -259,17 +287,17 @@ def _order_key(sigs: np.ndarray) -> np.ndarray:
     return sigs % np.uint64(ORDERS) * _MULTIPLIERS[3]
 
 
-_MEMBERS = "sig long, salt int, fp long, n int, cfp long, cn int"
+_MEMBERS = "sig long, salt int, fp long, n int, at int, cfp long, cn int"
 
 
 def _stars(batches):
     """Entries with two classes or more: each member beside the first; one row of a salted part goes on as well."""
-    cols = ("sig", "salt", "place", "n")
+    cols = ("sig", "salt", "place", "size")
     held = None
 
     def emit(c, over):
         nonlocal held
-        sig, salt, fp, n = c
+        sig, salt, fp, size = c
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
         begin = np.flatnonzero(new)
@@ -284,7 +312,8 @@ def _stars(batches):
         keep = distinct & ((sizes[run] > 1) | (salt > 0))
         first = begin[run]
         fp = (shared.unmix(fp.view(np.uint64)) ^ _order_key(sig.view(np.uint64))).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, salt, fp, n, fp[first], n[first])], names=["sig", "salt", "fp", "n", "cfp", "cn"])
+        n = _size(size)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, salt, fp, n, _place(size), fp[first], n[first])], names=["sig", "salt", "fp", "n", "at", "cfp", "cn"])
 
     for b in batches:
         if b.num_rows:
@@ -432,19 +461,39 @@ def components(links: DataFrame) -> DataFrame:
 # The join -------------------------------------------------------------------
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, pairs: DataFrame, verify: _Verifier, fits: F.Column) -> DataFrame:
-    """Pairs of one entry that lie in different components, weren't compared yet and may be similar by their short parity bits."""
-    label = members.select("sig", "fp", "n").join(labels, F.col("fp") == F.col("node"), "left").select("sig", "fp", "n", F.coalesce("component", "fp").alias("label"))
+def _meetings(members: DataFrame, labels: DataFrame, verify: _Verifier) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of one entry that lie in different components and may be similar by their places and short parity bits, few of them repeated; the saved table that they are made of."""
+    label = members.select("sig", "fp", "n", "at").join(labels, F.col("fp") == F.col("node"), "left").select("sig", "fp", "n", "at", F.coalesce("component", "fp").alias("label"))
+    # whether the shingles from here on are enough for a larger set
+    seeks = verify.may_be_similar(F.col("at").cast("long"), F.col("n"))
     # an entry of two members has been compared whole
-    mixed = label.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
+    mixed = label.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.max(seeks).alias("sought")).where("lo <> hi and size > 2 and sought")
     mixed = mixed.select("sig", F.ceil(F.col("size") / OPEN_MEMBERS).cast("int").alias("deals"))
-    found = label.join(mixed, "sig").join(verify.reps.select("fp", *_WORDS), "fp")
+    rows = shared.save(label.join(mixed, "sig"), "open-entries")
+    # entries of single shingles by place, then those of pairs by hash
+    order = F.row_number().over(Window.partitionBy("fp", "pair").orderBy("at", "sig"))
+    heads = rows.select("fp", "at", "sig", F.expr("at < 0").alias("pair")).withColumn("k", order).where(F.col("k") <= HEADS).groupBy("fp").agg(F.collect_list(F.struct("at", "sig")).alias("heads"))
+    single = lambda h: (h["at"] >= 0) & ((F.col("at") < 0) | (h["at"] < F.col("at")))
+    pair = lambda h: (h["at"] < 0) & (F.col("at") < 0) & (h["sig"] < F.col("sig"))
+    before = F.transform(F.filter("heads", lambda h: single(h) | pair(h)), lambda h: h["sig"])
+    found = rows.join(verify.reps.select("fp", *_WORDS), "fp").join(heads, "fp").select("sig", "fp", "n", "at", "label", "deals", before.alias("before"), *_WORDS)
     found = shared.save(found, "open")
-    x = found.select("sig", F.pmod(F.hash("fp"), F.col("deals")).alias("deal"), F.col("fp").alias("a"), "n", F.col("label").alias("la"), *_WORDS)
-    y = found.select("sig", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("fp").alias("b"), F.col("n").alias("cn"), F.col("label").alias("lb"), *[F.col(w).alias(f"q{k}") for k, w in enumerate(_WORDS)])
-    near = verify.may_be_similar(_words_apart("p", "q"), F.col("n") + F.col("cn"))
-    meet = x.join(y, ["sig", "deal"]).where("a < b and la <> lb").where(fits).where(near)
-    out = shared.save(meet.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-open")
+    shared.discard(rows)
+    x = found.where(seeks).select("sig", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("fp").alias("a"), "n", "at", F.col("label").alias("la"), "before", *_WORDS)
+    y = found.select("sig", F.pmod(F.hash("fp"), F.col("deals")).alias("deal"), F.col("fp").alias("b"), F.col("n").alias("cn"), F.col("at").alias("cat"), F.col("label").alias("lb"), F.col("before").alias("cbefore"), *[F.col(w).alias(f"q{k}") for k, w in enumerate(_WORDS)])
+    fits = F.lit(100) * F.col("n").cast("long") >= F.lit(verify.percent) * F.col("cn").cast("long")
+    total = F.col("n").cast("long") + F.col("cn")
+    rest = F.least(F.col("n") - F.col("at"), F.col("cn") - F.col("cat")).cast("long")
+    enough = (F.col("at") < 0) | (rest * (100 + verify.percent) >= total * verify.percent)
+    near = verify.may_be_similar(_words_apart("p", "q"), total)
+    meet = x.join(y, ["sig", "deal"]).where("(n < cn or (n = cn and a < b)) and la <> lb").where(fits).where(enough).where(near).where(~F.arrays_overlap("before", "cbefore"))
+    return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), found
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, pairs: DataFrame, verify: _Verifier) -> DataFrame:
+    """Pairs of one entry that lie in different components, weren't compared yet and may be similar."""
+    meet, found = _meetings(members, labels, verify)
+    out = shared.save(meet.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-open")
     shared.discard(found)
     return out
 
@@ -463,7 +512,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     reps = shared.save(known.groupBy("fp").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", *_WORDS, "parity")]), "sets")
 
     present = rows.where("doc_id is not null and text is not null")
-    entries = present.mapInArrow(_index(width, percent, levels), "sig long, salt int, place long, n int")
+    entries = present.mapInArrow(_index(width, percent, levels), "sig long, salt int, place long, size long")
     order = ["sig", "salt", "place"]
     members = shared.save(entries.repartition(shared.partitions(spark), "sig", "salt").sortWithinPartitions(*order).mapInArrow(_stars, _MEMBERS), "members")
 
@@ -479,7 +528,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     twice = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
     same_id = known.select("doc_id", "fp").join(twice, "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))
     labels = components(verify.links(verify.close(pairs, "first"), "first").unionByName(same_id))
-    more = _open_pairs(members, labels, pairs, verify, fits)
+    more = _open_pairs(members, labels, pairs, verify)
     if not more.isEmpty():
         found = verify.links(verify.close(more, "second"), "second")
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))

@@ -304,6 +304,57 @@ def test_one_passage_in_dissimilar_documents(docs, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("level", [0, 12, 16])
+def test_half_similar_documents_meet_once(docs, monkeypatch, level):
+    """Families of which many pairs are nearly similar and share dozens of entries: each pair comes about once, and no link is lost."""
+    # 0: single shingles; 12: all entries are pairs of shingles; 16: and salted
+    monkeypatch.setattr(jaccard_join, "frequency_levels", lambda c: np.where(c > 0, level, 0).astype(np.uint8))
+    rng, rows = random.Random(4), []
+    for _ in range(3):
+        base = prose(600, rng).split()
+        for k in range(12):
+            cut = rng.choice((27, 33, 34))
+            rows.append((len(rows), " ".join(base[: 48 * k] + prose(cut, rng).split() + base[48 * k + cut :])))
+    made, open_pairs = [], jaccard_join._open_pairs
+
+    def counted(members, *others):
+        cls = type(members)
+        with monkeypatch.context() as patch:
+            distinct = cls.distinct
+            patch.setattr(cls, "distinct", lambda df: made.append((df.count(), distinct(df).count())) or distinct(df))
+            return open_pairs(members, *others)
+
+    monkeypatch.setattr(jaccard_join, "_open_pairs", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs(rows)).collect()}
+    assert got == brute_components(rows) and 3 < len({c for _, c in got.values()}) < len(rows)
+    ((rows_made, pairs),) = made
+    assert 0 < pairs <= rows_made <= 2 * pairs
+
+
+def test_similar_sets_meet_at_their_first_common_shingle():
+    rng = np.random.default_rng(7)
+    with np.errstate(over="ignore"):
+        for n in (4, 9, 30, 90, 600, 5000):
+            for _ in range(40):
+                x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+                drop, add = rng.integers(0, n // 9 + 1, 2)
+                y = np.unique(np.concatenate((x[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64))))
+                if 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
+                    continue
+                small, large = sorted((x, y), key=len)
+                entries = [jaccard_join.signatures(s, np.zeros(len(s), np.uint8), 80) for s in (small, large)]
+                coded = [jaccard_join._place(jaccard_join.size_and_place(len(s), e[2])) for s, e in zip((small, large), entries, strict=True)]
+                _, i, j = np.intersect1d(entries[0][0], entries[1][0], return_indices=True)
+                first = np.argmin(entries[0][2][i])
+                at, other = int(coded[0][i[first]]), int(coded[1][j[first]])
+                assert at <= entries[0][2][i[first]] and at * 180 <= 20 * len(small)
+                assert min(len(small) - at, len(large) - other) * 180 >= 80 * (len(small) + len(large))
+    places = np.concatenate(([-1], np.arange(3000), [10**6]))
+    both = jaccard_join.size_and_place(1 << 25, places)
+    back = jaccard_join._place(both)
+    assert (jaccard_join._size(both) == 1 << 25).all() and back[0] == -1 and (back[1:] <= places[1:]).all() and (np.diff(back) >= 0).all() and (places[1:3001] <= 1.05 * back[1:3001] + 1).all()
+
+
 # decontamination
 
 
