@@ -32,15 +32,20 @@ def _term_filter(term: Term, column: str = "term"):
     return {"exact": F.col(column) == term.text, "prefix": F.col(column).startswith(term.text), "suffix": F.col(column).endswith(term.text)}[term.kind]
 
 
+def standing_for(spark: SparkSession, paths: list[str], term: Term) -> DataFrame:
+    """All terms of the index that a wildcard stands for, however many."""
+    if term.kind == "suffix":
+        found = spark.read.parquet(*[f"{p}/suffixes" for p in paths]).where(F.col("reversed").startswith(term.text[::-1]))
+    else:
+        found = spark.read.parquet(*[f"{p}/terms" for p in paths]).where(_term_filter(term))
+    return found.select("term").distinct()
+
+
 def expansions(spark: SparkSession, paths: list[str], term: Term) -> list[str]:
     """The terms of the index that a wildcard stands for; an error beyond MAX_EXPANSIONS."""
     if term.kind == "exact":
         return [term.text]
-    if term.kind == "prefix":
-        found = spark.read.parquet(*[f"{p}/terms" for p in paths]).where(F.col("term").startswith(term.text))
-    else:
-        found = spark.read.parquet(*[f"{p}/suffixes" for p in paths]).where(F.col("reversed").startswith(term.text[::-1]))
-    out = [r.term for r in found.select("term").distinct().limit(MAX_EXPANSIONS + 1).collect()]
+    out = [r.term for r in standing_for(spark, paths, term).limit(MAX_EXPANSIONS + 1).collect()]
     if len(out) > MAX_EXPANSIONS:
         raise ValueError(f"{term.text!r} stands for more than {MAX_EXPANSIONS} terms")
     return sorted(out)
@@ -78,26 +83,31 @@ def blocks_of(found: DataFrame, term: Term) -> DataFrame:
     return found.where(_term_filter(term)).select("file", "block").distinct()
 
 
-def leaf_blocks(spark: SparkSession, segments: list[dict], root: str, match: Q.Match) -> DataFrame:
-    """The blocks that may hold a match of one leaf."""
+def leaf_blocks(spark: SparkSession, segments: list[dict], root: str, match: Q.Match, wide: bool = False) -> DataFrame:
+    """The blocks that may hold a match of one leaf. wide: wildcards are tested on the postings, whatever number of terms they stand for, and no terms go through the driver."""
     kept = prune_segments(segments, match)
     if not kept:
         return spark.createDataFrame([], "file string, block long")
     found = spark.read.parquet(*[f"{root}/{s['path']}/postings" for s in kept])
-    words = expanded(spark, root, kept, match)
-    any_term = found.where(F.col("term").isin(sorted({w for group in words for w in group})))
-    if match.operator == "or" or len(words) == 1:
+    if wide:
+        tests = [_term_filter(t) for t in dict.fromkeys(match.terms)]
+        any_term = found.where(reduce(lambda a, b: a | b, tests))
+    else:
+        words = expanded(spark, root, kept, match)
+        tests = [F.col("term").isin(group) for group in words]
+        any_term = found.where(F.col("term").isin(sorted({w for group in words for w in group})))
+    if match.operator == "or" or len(tests) == 1:
         return any_term.select("file", "block").distinct()
     # one pass over the postings of all terms, instead of a join for each
-    each = [F.max(F.col("term").isin(group).cast("int")).alias(f"h{i}") for i, group in enumerate(words)]
+    each = [F.max(test.cast("int")).alias(f"h{i}") for i, test in enumerate(tests)]
     all_of = any_term.groupBy("file", "block").agg(*each)
-    return all_of.where(reduce(lambda a, b: a & b, [F.col(f"h{i}") == 1 for i in range(len(words))])).select("file", "block")
+    return all_of.where(reduce(lambda a, b: a & b, [F.col(f"h{i}") == 1 for i in range(len(tests))])).select("file", "block")
 
 
-def candidate_blocks(spark: SparkSession, by_column: dict[str, list[dict]], root: str, query: Q.Query) -> DataFrame:
+def candidate_blocks(spark: SparkSession, by_column: dict[str, list[dict]], root: str, query: Q.Query, wide: bool = False) -> DataFrame:
     if isinstance(query, Q.Match):
-        return leaf_blocks(spark, by_column[query.column], root, query)
-    parts = [candidate_blocks(spark, by_column, root, p) for p in query.parts]
+        return leaf_blocks(spark, by_column[query.column], root, query, wide)
+    parts = [candidate_blocks(spark, by_column, root, p, wide) for p in query.parts]
     return reduce(intersect if isinstance(query, Q.And) else union, parts)
 
 

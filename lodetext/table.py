@@ -233,17 +233,17 @@ class SearchTable:
 
     # search
 
-    def search(self, query: Q.Query | dict, select: list[str] | None = None, limit: int | None = None, score: str | bool = "none", stats_scope: str = "global", scan_above: float = 1.0) -> DataFrame:
+    def search(self, query: Q.Query | dict, select: list[str] | None = None, limit: int | None = None, score: str | bool = "none", stats_scope: str = "global", scan_above: float = 1.0, wide: bool = False) -> DataFrame:
         """text, the selected columns and, unless score is "none", score. Complete whatever is indexed.
 
         score: "none", "indexed" (rows of unindexed files have a null score) or "all". With a score and a limit: the best, ties by file and row. An index is passed over if the
-        share of rows that may match is above scan_above.
+        share of rows that may match is above scan_above. wide: a wildcard may stand for any number of terms; otherwise more than 1,024 are an error.
         """
         score = {True: "all", False: "none"}.get(score, score)
         if score not in SCORES or stats_scope not in STATS:
             raise ValueError(f"score is one of {SCORES}, stats_scope of {STATS}")
         query = Q.from_json(query) if isinstance(query, dict) else query
-        hits, columns = self._hits(query, score, stats_scope, scan_above)
+        hits, columns = self._hits(query, score, stats_scope, scan_above, wide)
         main = Q.columns(query)[0]
         extra = [c for c in columns if c != main] if select == ["*"] else [c for c in select or [] if c != main]
         if clash := {"text", "score"} & set(extra):
@@ -267,7 +267,7 @@ class SearchTable:
             covered &= {f for s in segments for f in s["files"]}
         return by_column, [f for f in state["files"] if f in covered], [f for f in state["files"] if f not in covered]
 
-    def _hits(self, query: Q.Query, score: str, scope: str, scan_above: float) -> tuple[DataFrame, list[str]]:
+    def _hits(self, query: Q.Query, score: str, scope: str, scan_above: float, wide: bool = False) -> tuple[DataFrame, list[str]]:
         state = self.state()
         if not state["files"]:
             empty = self.spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in Q.columns(query)]))
@@ -283,7 +283,7 @@ class SearchTable:
             block_rows = {s["block_rows"] for v in by_column.values() for s in v}
             rows = I.located(self.spark, indexed, schema=schema)
             if len(block_rows) == 1 and not (stats and P.selectivity(self._merged_df(stats), next(iter(stats.values())).rows, query) > scan_above):
-                rows = self._pruned(state, query, by_column, indexed, block_rows.pop())
+                rows = self._pruned(state, query, by_column, indexed, block_rows.pop(), wide)
             if rows is not None:
                 if score != "none" and scope == "segment" and len(by_column) == 1:
                     parts += self._by_segment(rows, query, by_column, terms)
@@ -327,9 +327,9 @@ class SearchTable:
                 out.append(S.matches(rows.where(F.col("_file").isin(mine)), query, own))
         return out
 
-    def _pruned(self, state: dict, query: Q.Query, by_column, indexed: list[str], block_rows: int) -> DataFrame | None:
+    def _pruned(self, state: dict, query: Q.Query, by_column, indexed: list[str], block_rows: int, wide: bool = False) -> DataFrame | None:
         """Rows of candidate blocks: other files aren't opened, other blocks are left out before anything is tokenised."""
-        blocks = P.candidate_blocks(self.spark, by_column, self.root, query)
+        blocks = P.candidate_blocks(self.spark, by_column, self.root, query, wide)
         per_file = {r.file: r["count"] for r in blocks.groupBy("file").count().collect()}  # as many rows as files
         files = [f for f in indexed if f in per_file]
         if not files:
