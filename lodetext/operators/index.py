@@ -28,7 +28,7 @@ def tokenised(rows: DataFrame, column: str, tokenizer: str, block_rows: int) ->
         found = by_column[column]
     else:
         found = TOKENIZERS[tokenizer](F.col(f"`{column}`"))
-    return rows.select("_file", F.floor(F.col("_row") / block_rows).cast("long").alias("block"), F.coalesce(found, F.array().cast("array<string>")).alias("tokens"))
+    return rows.select("_file", F.expr(f"_row div {block_rows}").alias("block"), F.coalesce(found, F.array().cast("array<string>")).alias("tokens"))
 
 
 def postings(rows: DataFrame) -> DataFrame:

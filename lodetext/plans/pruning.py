@@ -70,7 +70,7 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, ["file", "block"], "left_anti")
+    return a.subtract(b)
 
 
 def expanded(spark: SparkSession, root: str, segments: list[dict], match: Q.Match) -> list[list[str]]:
