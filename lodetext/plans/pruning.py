@@ -62,7 +62,7 @@ def document_frequencies(spark: SparkSession, paths: list[str], terms: list[Term
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, ["file", "block"], "left_semi")
+    return a.intersect(b)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
