@@ -6,6 +6,7 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -214,7 +215,7 @@ class SearchTable:
             if not isinstance(kind, T.StringType):
                 raise TypeError(f"{column} is {kind.simpleString()}; only strings are indexed")
             rows = I.tokenised(I.located(self.spark, todo, [column], schema), column, state["columns"][column]["tokenizer"], block_rows)
-            segment = self._write(column, todo, I.postings(rows), I.blocks(rows), block_rows, "append")
+            segment = self._write(column, todo, lambda path, rows=rows: I.index_segment(rows, block_rows, path), block_rows, "append")
             batch = segment["batch_id"]
 
             def change(state, segment=segment, batch=batch, column=column):
@@ -226,9 +227,9 @@ class SearchTable:
             out.append(IndexResult(column, 1, len(todo), self.log.version()))
         return out
 
-    def _write(self, column: str, files: list[str], found: DataFrame, in_blocks: DataFrame, block_rows: int, job: str) -> dict:
+    def _write(self, column: str, files: list[str], write: Callable[[str], dict], block_rows: int, job: str) -> dict:
         path = f"segments/{column}-{uuid.uuid4().hex}"
-        totals = I.write_segment(found, in_blocks, f"{self.root}/{path}")
+        totals = write(f"{self.root}/{path}")
         return {"path": path, "column": column, "files": sorted(files), "block_rows": block_rows, "job": job, "batch_id": batch_id(column, files), **totals}
 
     # search
@@ -385,7 +386,7 @@ class SearchTable:
                 read = lambda what, part=part, keep=keep: self.spark.read.parquet(*[f"{self.root}/{s['path']}/{what}" for s in part]).join(keep, "file", "left_semi")
                 found = read("postings").groupBy("term", "file", "block").agg(F.max("row_hits").alias("row_hits"))
                 in_blocks = read("blocks").dropDuplicates(["file", "block"])
-                new.append(self._write(column, files, found, in_blocks, rows, "compact"))
+                new.append(self._write(column, files, lambda path, found=found, in_blocks=in_blocks: I.write_segment(found, in_blocks, path), rows, "compact"))
         gone = {s["path"] for s in merged}
         if gone:
 
