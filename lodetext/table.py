@@ -382,10 +382,8 @@ class SearchTable:
                 files = sorted({f for s in part for f in s["files"]} & live)
                 if not files:
                     continue
-                keep = self.spark.createDataFrame([(f,) for f in files], "file string")
-                read = lambda what, part=part, keep=keep: self.spark.read.parquet(*[f"{self.root}/{s['path']}/{what}" for s in part]).join(keep, "file", "left_semi")
-                found = read("postings").groupBy("term", "file", "block").agg(F.max("row_hits").alias("row_hits"))
-                in_blocks = read("blocks").dropDuplicates(["file", "block"])
+                last = {f: s["path"] for s in part for f in s["files"] if f in live}  # a file in several segments counts for the last
+                found, in_blocks = (self._parts(part, last, what) for what in ("postings", "blocks"))
                 new.append(self._write(column, files, lambda path, found=found, in_blocks=in_blocks: I.write_segment(found, in_blocks, path), rows, "compact"))
         gone = {s["path"] for s in merged}
         if gone:
@@ -403,6 +401,18 @@ class SearchTable:
             created = new
         return CompactResult(len(merged), len(created), stale)
 
+    def _parts(self, segments: list[dict], last: dict[str, str], what: str) -> DataFrame:
+        """One table of several segments, of each the files that count for it. Nothing is moved: segments whose files all count are read as they are, of the others rows are left out by a broadcast list."""
+        whole, parts = [], []
+        for s in segments:
+            path, mine = f"{self.root}/{s['path']}/{what}", [f for f in s["files"] if last.get(f) == s["path"]]
+            if len(mine) == len(s["files"]):
+                whole.append(path)
+            elif mine:
+                names = self.spark.createDataFrame([(f,) for f in mine], "file string")
+                parts.append(self.spark.read.parquet(path).join(F.broadcast(names), "file", "left_semi"))
+        return reduce(DataFrame.unionByName, [*([self.spark.read.parquet(*whole)] if whole else []), *parts])
+
     def _statuses(self, path: str):
         where = self.store._path(f"{path}/postings")
         return self.store._fs.listStatus(where)
