@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import threading
 import time
 import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from lodetext.plans import query as Q
@@ -20,6 +22,16 @@ class Timeout(Exception):
     pass
 
 
+@contextlib.contextmanager
+def all_at_once(hits: DataFrame):
+    """The hits and their number. They are found by all tasks together and kept on the executors' disks, so that fetching them partition by partition searches nothing."""
+    hits = hits.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield hits, hits.count()
+    finally:
+        hits.unpersist()
+
+
 class Searches:
     """Tables by name. Every request reads the newest version of its table."""
 
@@ -52,8 +64,13 @@ class Searches:
         self.spark.sparkContext.addJobTag(tag)
         timer.start()
         try:
-            rows = [json.loads(r) for r in hits.toJSON().collect()] if request.get("limit") is not None else [json.loads(r) for r in hits.toJSON().toLocalIterator()]
-            stats = self.table(name).search_stats(Q.from_json(request.get("search") or {k: request[k] for k in ("column", "match", "operator") if k in request}))
+            query = Q.from_json(request.get("search") or {k: request[k] for k in ("column", "match", "operator") if k in request})
+            if request.get("limit") is not None:
+                rows, stats = [json.loads(r) for r in hits.toJSON().collect()], self.table(name).search_stats(query)
+            else:
+                with all_at_once(hits) as (hits, matched):
+                    rows = [json.loads(r) for r in hits.toJSON().toLocalIterator()]
+                stats = self.table(name).search_stats(query, matched)
         except Exception as e:
             if time.time() - start >= self.config["timeout_seconds"]:
                 raise Timeout("the search took too long") from e
@@ -138,8 +155,8 @@ def flight_server(searches: Searches, location: str = "grpc://127.0.0.1:0"):
 
             def batches():
                 # partition by partition, so that the server holds one at a time
-                for r in hits.toLocalIterator(prefetchPartitions=True):
-                    yield r
+                with all_at_once(hits) as (found, _):
+                    yield from found.toLocalIterator(prefetchPartitions=True)
 
             def grouped():
                 rows = []

@@ -341,8 +341,8 @@ class SearchTable:
             wanted = F.broadcast(wanted)
         return rows.withColumn("_block", F.floor(F.col("_row") / block_rows).cast("long")).join(wanted, ["_file", "_block"], "left_semi").drop("_block")
 
-    def search_stats(self, query: Q.Query | dict) -> SearchStats:
-        """What a search without limit touches."""
+    def search_stats(self, query: Q.Query | dict, matched: int | None = None) -> SearchStats:
+        """What a search without limit touches. matched: the number of its hits, if they were counted already."""
         start, query = time.time(), Q.from_json(query) if isinstance(query, dict) else query
         state = self.state()
         if not state["files"]:
@@ -356,7 +356,8 @@ class SearchTable:
             in_blocks = reduce(DataFrame.unionByName, sizes).join(found, ["file", "block"], "left_semi")
             blocks, scanned = in_blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
         tail_rows = self._read(state, tail).count() if tail else 0
-        matched = self._hits(query, "none", "global", 1.0)[0].count()
+        if matched is None:
+            matched = self._hits(query, "none", "global", 1.0)[0].count()
         return SearchStats(len(touched), blocks, self._read(state, state["files"]).count(), scanned, tail_rows, len(tail), matched, int(1000 * (time.time() - start)))
 
     # maintenance
